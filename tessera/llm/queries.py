@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_tree import bpe_round_trip
 from .common import table
+from .packing import pack
 from .token_store import token_store
 
 
@@ -19,8 +20,12 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_store)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_store, op5_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
