@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_tree import bpe_round_trip
+from .chat import DIGESTS_SQL, conversation_digests
 from .common import table
 from .packing import pack
 from .token_store import token_store
@@ -24,9 +25,17 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more, whose texts are full of control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", hostile), (-7, 1, "assistant", hostile)], turns.schema)
+    return conversation_digests(turns.unionByName(more))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_store, op5_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_store, op5_packing, op7_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat": DIGESTS_SQL}
