@@ -11,6 +11,7 @@ from .chat import DIGESTS_SQL, conversation_digests
 from .common import table
 from .packing import pack
 from .token_store import token_store
+from .toxicity import toxicity
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +34,12 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(turns.unionByName(more))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_store, op5_packing, op7_chat)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_store, op5_packing, op7_chat, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
