@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe_tree import bpe_round_trip
 from .chat import DIGESTS_SQL, conversation_digests
 from .common import table
 from .packing import pack
+from .quality import classify
 from .token_store import token_store
-from .toxicity import toxicity
+from .toxicity import train_rows, toxicity
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,12 +36,18 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(turns.unionByName(more))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its perplexity under the model of the trusted texts outside the held-out third of ids."""
+    judged = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train_rows=train_rows)
+    return judged.select("doc_id", "lang", (~F.coalesce(train_rows(F.col("doc_id")), F.lit(True))).alias("held_out"), "perplexity", "threshold", "good")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_store, op5_packing, op7_chat, op10_toxicity)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_store, op5_packing, op7_chat, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

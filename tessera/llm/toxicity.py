@@ -188,12 +188,12 @@ def apply(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", score_co
     return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(scored, out)
 
 
-def _train_rows(doc_id):
+def train_rows(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, **options) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` of every document; learns without the held-out third."""
-    lexicon = fit(docs, labels, train=_train_rows, **options)
+    lexicon = fit(docs, labels, train=train_rows, **options)
     scored = apply(docs.select("doc_id", "text"), lexicon)
-    return scored.select("doc_id", (~F.coalesce(_train_rows(F.col("doc_id")), F.lit(True))).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", (~F.coalesce(train_rows(F.col("doc_id")), F.lit(True))).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
