@@ -11,6 +11,7 @@ from .bpe_tree import bpe_round_trip
 from .chat import DIGESTS_SQL, conversation_digests
 from .common import table
 from .packing import pack
+from .pii import pii
 from .quality import classify
 from .token_store import token_store
 from .toxicity import train_rows, toxicity
@@ -24,6 +25,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_store, op5_packing, op7_chat, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_store, op4_pii, op5_packing, op7_chat, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
