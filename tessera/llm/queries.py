@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe_tree import bpe_round_trip
 from .chat import DIGESTS_SQL, conversation_digests
 from .common import table
+from .ngram_join import near_duplicates
 from .packing import pack
 from .pii import pii
 from .quality import classify
@@ -33,6 +34,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one more, whose texts are full of control strings."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -52,7 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_store, op4_pii, op5_packing, op7_chat, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_store, op4_pii, op5_packing, op6_ngram_join, op7_chat, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,6 +25,16 @@ def test_tree_equals_library_on_random_text(text, leaf):
     assert bpe_tree.encode_tree(tokens.byte_bpe(), text, leaf).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+WORD_PIECES = [*PIECES, "CAFÉ", "Straße", "it's", "I'LL", "don't.", "x2y", "e\u0301", "İs", "ΟΔΟΣ", "ΣΑΣ.", "ﬁ", "\xa0", "\x85", "\u3000", "<|startoftext|>", "'S", "\x1f", "\x00", "Ünïcode,", "²", "ª", "ⅷ", "-", "th", "\u200b"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(WORD_PIECES), max_size=20) | st.lists(st.characters(max_codepoint=0x260), max_size=12))
+def test_words_equal_library(parts):
+    text = "".join(parts)
+    assert tokens.word_bpe().encode(text).tolist() == tokens.word_bpe().library.encode(text, add_special_tokens=False).ids
+
+
 def test_unsplit_text_is_joined_by_small_windows(monkeypatch):
     rng = np.random.default_rng(0)
     text = "".join(rng.choice(list("abcdefghij"), 20_000))
