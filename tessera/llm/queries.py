@@ -14,6 +14,7 @@ from .ngram_join import near_duplicates
 from .packing import pack
 from .pii import pii
 from .quality import classify
+from .spotsigs import compare_edited
 from .token_store import token_store
 from .toxicity import train_rows, toxicity
 
@@ -26,6 +27,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"))
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_store, op4_pii, op5_packing, op6_ngram_join, op7_chat, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_store, op3_spotsigs, op4_pii, op5_packing, op6_ngram_join, op7_chat, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
