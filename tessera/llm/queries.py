@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .bpe_tree import bpe_round_trip
 from .chat import DIGESTS_SQL, conversation_digests
 from .common import table
@@ -51,6 +52,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(turns.unionByName(more))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its perplexity under the model of the trusted texts outside the held-out third of ids."""
     judged = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train_rows=train_rows)
@@ -62,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_store, op3_spotsigs, op4_pii, op5_packing, op6_ngram_join, op7_chat, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_store, op3_spotsigs, op4_pii, op5_packing, op6_ngram_join, op7_chat, op8_ann, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
