@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import discard, text_of, written
 from .components import components
@@ -169,7 +170,8 @@ def nodes(texts: DataFrame, words: int, percent: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(texts.schema["id"].dataType)
-    return texts.mapInArrow(sets, f"id {texts.schema['id'].dataType.simpleString()}, n long, node long, first array<long>")
+    out = T.StructType([texts.schema["id"], *T.StructType.fromDDL("n long, node long, first array<long>")])
+    return texts.mapInArrow(sets, out)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
@@ -323,6 +325,22 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs
 
 
+def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component: the smallest id (null ids last), then the smallest hash of the text.
+
+    Documents without words are components of their own.  Rows that repeat both id and text count as one."""
+    hashed = docs.withColumn("__h", F.xxhash64(text_of(text_col)))
+    # the row's id and hash travel as its id
+    members, links = join(hashed.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__h").alias("h")).alias("id"), text_of(text_col).alias("text")), id_col="id", text_col="text", **options)
+    least = members.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("own"))
+    labelled = least.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    chosen = labelled.groupBy("label").agg(F.min("own").alias("id")).select("id.id", "id.h")
+    empty = members.where("node IS NULL").select("id.id", "id.h")
+    d, c = hashed.alias("d"), chosen.unionByName(empty).alias("c")
+    kept = d.join(c, F.col(f"d.{id_col}").eqNullSafe(F.col("c.id")) & (F.col("d.__h") == F.col("c.h")), "left_semi")
+    return kept.dropDuplicates([id_col, "__h"]).drop("__h")
+
+
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Membership (``id``, ``n``, ``node``) of every row and the links (``a``, ``b``) between nodes that connect all
     similar ones: every similar pair is a link or within a component of links."""
