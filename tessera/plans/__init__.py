@@ -1,0 +1,6 @@
+"""Every query of the library, by name, and its SQL where SQL can express it."""
+
+from .registry import QUERIES, SQL, Tables
+from . import q_intervals, q_aggregates, q_relational, q_statistics  # noqa: F401
+
+__all__ = ["QUERIES", "SQL", "Tables"]
