@@ -25,7 +25,7 @@ def finite(x: Column) -> Column:
 
 def effects(df: DataFrame, *, pseudocount: float = 1.0) -> DataFrame:
     """Adds n, expected, odds ratios, ratio and excess of 2x2 tables (neither, first, second, both)."""
-    a, b, c, d = (F.col(x).cast("double") for x in ("both", "first", "second", "neither"))
+    a, b, c, d = (F.col(x).cast("double") for x in ("joint", "first", "second", "neither"))
     n = a + b + c + d
     expected = ratio((a + b) * (a + c), n)
     pc = pseudocount
@@ -39,7 +39,7 @@ def effects(df: DataFrame, *, pseudocount: float = 1.0) -> DataFrame:
 def _log_factorials(tables: DataFrame) -> DataFrame:
     """``k``, ``lf`` for every whole number that the tables need, by one running sum over their range."""
     spark = tables.sparkSession
-    most = tables.agg(F.max(F.col("neither") + F.col("first") + F.col("second") + F.col("both"))).first()[0]
+    most = tables.agg(F.max(F.col("neither") + F.col("first") + F.col("second") + F.col("joint"))).first()[0]
     w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     return spark.range(0, (most or 0) + 1, 1, 1).select(F.col("id").alias("k"), F.sum(F.log(F.greatest(F.col("id"), F.lit(1)).cast("double"))).over(w).alias("lf"))
 
@@ -48,15 +48,15 @@ def fisher(tables: DataFrame, *, tie: float = 1e-7) -> DataFrame:
     """Adds the two-sided p value of 2x2 tables: all tables of the same margins that are no likelier than the observed
     one, ties within a relative tolerance.  Each distinct table is tested once, its support as rows; log factorials come
     from one table as long as the largest total."""
-    cells = ["neither", "first", "second", "both"]
+    cells = ["neither", "first", "second", "joint"]
     once = tables.select(*(F.col(c).cast("long").alias(c) for c in cells)).distinct()
-    m, k, n = F.col("both") + F.col("first"), F.col("both") + F.col("second"), F.col("neither") + F.col("first") + F.col("second") + F.col("both")
+    m, k, n = F.col("joint") + F.col("first"), F.col("joint") + F.col("second"), F.col("neither") + F.col("first") + F.col("second") + F.col("joint")
     margins = once.select(*cells, m.alias("m"), k.alias("k"), n.alias("n"))
     support = margins.select("m", "k", "n").distinct().withColumn("x", F.explode(F.sequence(F.greatest(F.lit(0), F.col("m") + F.col("k") - F.col("n")), F.least("m", "k"))))
     lf = _log_factorials(once)
     long = support.select("m", "k", "n", "x", F.explode(F.array(*(F.struct(v.alias("i"), F.lit(s).alias("s")) for v, s in ((F.col("x"), -1), (F.col("m") - F.col("x"), -1), (F.col("k") - F.col("x"), -1), (F.col("n") - F.col("m") - F.col("k") + F.col("x"), -1), (F.col("m"), 1), (F.col("n") - F.col("m"), 1), (F.col("k"), 1), (F.col("n") - F.col("k"), 1), (F.col("n"), -1))))).alias("t"))
     logs = long.join(lf.withColumnRenamed("k", "i"), F.col("t.i") == F.col("i")).groupBy("m", "k", "n", "x").agg(F.sum(F.col("t.s") * F.col("lf")).alias("lp"))
-    seen = margins.select(*cells, "m", "k", "n", F.col("both").alias("x")).join(logs, ["m", "k", "n", "x"]).select(*cells, "m", "k", "n", F.col("lp").alias("own"))
+    seen = margins.select(*cells, "m", "k", "n", F.col("joint").alias("x")).join(logs, ["m", "k", "n", "x"]).select(*cells, "m", "k", "n", F.col("lp").alias("own"))
     p = seen.join(logs, ["m", "k", "n"]).where(F.col("lp") <= F.col("own") + F.log1p(F.lit(tie))).groupBy(*cells).agg(F.least(F.sum(F.exp("lp")), F.lit(1.0)).alias("p"))
     return tables.join(p, cells, "left")
 
