@@ -40,7 +40,7 @@ def _log_factorials(tables: DataFrame) -> DataFrame:
     """``k``, ``lf`` for every whole number that the tables need, by one running sum over their range."""
     spark = tables.sparkSession
     most = tables.agg(F.max(F.col("neither") + F.col("first") + F.col("second") + F.col("joint"))).first()[0]
-    w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     return spark.range(0, (most or 0) + 1, 1, 1).select(F.col("id").alias("k"), F.sum(F.log(F.greatest(F.col("id"), F.lit(1)).cast("double"))).over(w).alias("lf"))
 
 
