@@ -124,7 +124,7 @@ def a14(v: Tables):
     return cov.join(hit, ["read", "mid"], "left").groupBy("region", "mid").agg(F.countDistinct("read").alias("covering"), F.count("hit").alias("called"), F.round(F.count("hit") / F.countDistinct("read"), 6).alias("fraction"))
 
 
-@query("a15_fiber_proportion", "SELECT read, round(sum(called) * 1.0 / (SELECT count(DISTINCT pos) FROM calls WHERE called = 1 AND chrom = 2), 6) AS proportion FROM calls WHERE chrom = 2 GROUP BY read")
+@query("a15_read_proportion", "SELECT read, round(sum(called) * 1.0 / (SELECT count(DISTINCT pos) FROM calls WHERE called = 1 AND chrom = 2), 6) AS proportion FROM calls WHERE chrom = 2 GROUP BY read")
 def a15(v: Tables):
     c = v.calls.where("chrom = 2")
     sites = c.where("called = 1").agg(F.countDistinct("pos").alias("sites"))

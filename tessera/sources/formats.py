@@ -22,7 +22,7 @@ FORMATS = {
     "bed13": f"{_BED12}, scores string",
     "bed15": f"{_BED12}, scores string, edges_left string, edges_right string",
     "legacy_bed10": f"{_INTERVAL}, read string, thick_lo long, thick_hi long, rgb string, block_count int, starts string, sizes string",
-    "segments": f"{_INTERVAL}, read string, score double, strand string, thick_lo long, thick_hi long, rgb string, fire_score double, tag string",
+    "segments": f"{_INTERVAL}, read string, score double, strand string, thick_lo long, thick_hi long, rgb string, element_score double, tag string",
     "ctss": f"{_INTERVAL}, name string, n long, strand string",
     "chromatin_states": f"{_INTERVAL}, state string",
     "gtf": "chrom string, source string, feature string, lo1 long, hi long, score string, strand string, frame string, attributes string",
