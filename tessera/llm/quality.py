@@ -145,7 +145,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model of all texts whose id is among ``trusted`` (one column of ids)."""
-    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).join(trusted.toDF("id"), "id", "left_semi").select("t")
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).join(trusted.toDF("id").hint("merge"), "id", "left_semi").select("t")
     got = count_grams(texts).toArrow()  # at most SIZE ** ORDER rows, whatever the corpus
     return model(got.column("gram").to_numpy(), got.column("n").to_numpy())
 
