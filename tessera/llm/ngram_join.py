@@ -16,6 +16,7 @@ its distinct shingles (so results are exact up to collisions, at about n*n/2**64
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,23 +39,62 @@ FILTER_BITS = 26
 _MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
-
-
-_hashes = _Hashes()
-
-
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
+#: Words are hashed by polynomials over random bytes' values, many at a time; longer ones one by one.
+_LONG, _SPAN = 1 << 16, 1 << 20
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of the bytes, powers of an odd base and of its inverse, all modulo 2 ** 64."""
+    values = np.array([xxhash.xxh3_64_intdigest(bytes([b]), 5) for b in range(256)], np.uint64)
+    base, n = 0x9FB21C651E98DF25, _SPAN + _LONG + 1
+    out = []
+    for x in (base, pow(base, -1, 1 << 64)):
+        p = np.full(n, np.uint64(x))
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return values, *out
+
+
+def words_of(raw: bytes) -> np.ndarray:
+    """Hashes of the words of a text in UTF-8, in order."""
+    points = np.frombuffer(raw.lower(), np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[points], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out = np.zeros(len(starts), np.uint64)
+    if not len(starts):
+        return out
+    values, powers, inverse = _powers()
+    long = ends - starts > _LONG
+    for k in np.flatnonzero(long).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(points[starts[k] : ends[k]].tobytes(), 7)
+    short = np.flatnonzero(~long)
+    at = 0
+    while at < len(short):
+        low = starts[short[at]]
+        end = int(np.searchsorted(starts[short], low + _SPAN, "left"))
+        own = short[at:end]
+        sums = np.zeros(int(ends[own[-1]] - low) + 1, np.uint64)
+        if len(sums) <= len(powers):
+            np.cumsum(values[points[low : ends[own[-1]]]] * powers[: len(sums) - 1], out=sums[1:], dtype=np.uint64)
+            x, y = starts[own] - low, ends[own] - low
+            out[own] = (sums[y] - sums[x]) * inverse[x]
+        else:  # long words lie between: one by one
+            for k in own.tolist():
+                piece = values[points[starts[k] : ends[k]]]
+                out[k] = (piece * powers[: len(piece)]).sum(dtype=np.uint64)
+        at = end
+    return (out ^ (out >> np.uint64(31))) * _MIX
+
+
+def shingles(text: str | bytes, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; one for the whole of a shorter text, none without words."""
-    found = text.encode("utf-8", "replace").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.array(list(map(_hashes.__getitem__, found)), np.uint64)
+    h = words_of(text if isinstance(text, bytes) else text.encode("utf-8", "replace"))
+    if not len(h):
+        return h
     width = min(words, len(h))
     n = len(h) - width + 1
     out = np.full(n, np.uint64(width))
@@ -99,7 +139,7 @@ def similar(i: int, nx: int, ny: int, percent: int) -> bool:
 def _texts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple]:
     for b in batches:
         for i, t in zip(b.column("id").to_pylist(), b.column("t")):
-            yield i, shingles(t.as_py(), words)
+            yield i, shingles(t.as_buffer().to_pybytes(), words)
 
 
 def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,28 +214,28 @@ def nodes(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return texts.mapInArrow(sets, out)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """Columns of each run of equal keys (the first column); a run may span batches."""
+def _whole(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """Columns of many rows at a time; a run of equal keys (the first column) is never split, however long."""
     held: list[list[np.ndarray]] = []
     for b in batches:
         columns = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
         if not len(columns[0]):
             continue
-        cuts = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), len(columns[0])]
-        if held and held[-1][0][0] != columns[0][0]:
-            yield [np.concatenate(c) for c in zip(*held)]
-            held = []
-        for x, y in zip(cuts, cuts[1:]):
-            part = [c[x:y] for c in columns]
-            if y < len(columns[0]):
-                yield [np.concatenate(c) for c in zip(*held, part)]
-                held = []
-            else:
-                held.append(part)
+        last = int(np.searchsorted(columns[0], columns[0][-1], "left")) if held == [] or columns[0][0] != columns[0][-1] else 0
+        if held and columns[0][0] == columns[0][-1] == held[0][0][0]:
+            held.append(columns)
+            continue
+        if last or held:
+            yield [np.concatenate(c) for c in zip(*held, [c[:last] for c in columns])]
+        held = [[c[last:] for c in columns]]
     if held:
         yield [np.concatenate(c) for c in zip(*held)]
 
 
+def _starts(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+
+
 def _emit(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)], names=names)
 
@@ -207,24 +247,24 @@ def tiles(made: DataFrame, percent: int) -> DataFrame:
     rows = made.where("first IS NOT NULL").select("n", "node", F.posexplode("first").alias("pos", "key"))
 
     def banded(batches):
-        out, size = [], 0
-        for key, n, node, pos in _runs(batches, ["key", "n", "node", "pos"]):
-            fresh = np.concatenate([[True], (node[1:] != node[:-1]) | (n[1:] != n[:-1])])
-            key, n, node, pos = key[fresh], n[fresh], node[fresh], pos[fresh]
-            if len(node) < 2:
+        for columns in _whole(batches, ["key", "n", "node", "pos"]):
+            key, n, node, _ = columns
+            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (n[1:] != n[:-1])])[: len(key)]
+            at = _starts(key[fresh])
+            many = np.repeat(np.diff(at, append=int(fresh.sum())) > 1, np.diff(at, append=int(fresh.sum())))
+            key, n, node, pos = (c[fresh][many] for c in columns)
+            if not len(key):
                 continue
-            centre, at = node.copy(), 0
-            while at < len(n):
-                end = int(np.searchsorted(n, 100 * n[at] // percent, "right"))
-                centre[at:end] = node[at]
-                at = end
-            out.append((key, n, node, pos, centre))
-            size += len(n)
-            if size > 50_000:
-                yield _emit(out, ["key", "n", "node", "pos", "centre"])
-                out, size = [], 0
-        if out:
-            yield _emit(out, ["key", "n", "node", "pos", "centre"])
+            at = _starts(key)
+            size = np.diff(at, append=len(key))
+            centre = np.repeat(node[at], size)
+            for k in np.flatnonzero(n[at + size - 1] > 100 * n[at] // percent).tolist():  # more than one band
+                low, end = int(at[k]), int(at[k] + size[k])
+                while low < end:
+                    high = low + int(np.searchsorted(n[low:end], 100 * n[low] // percent, "right"))
+                    centre[low:high] = node[low]
+                    low = high
+            yield _emit([(key, n, node, pos, centre)], ["key", "n", "node", "pos", "centre"])
 
     dealt = rows.repartition("key").sortWithinPartitions("key", "n", "node")
     return dealt.select("key", "n", "node", "pos").mapInArrow(banded, "key long, n long, node long, pos long, centre long")
@@ -235,24 +275,27 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
     much of either order is left behind the shared shingle."""
 
     def paired(batches):
-        out, size = [], 0
-        for _, n, node, pos, centre, label in _runs(batches, ["key", "n", "node", "pos", "centre", "label"]):
-            if (label == label[0]).all():
+        for columns in _whole(batches, ["key", "n", "node", "pos", "centre", "label"]):
+            key, n, node, pos, centre, label = columns
+            if not len(key):
                 continue
-            left = n - pos
-            for k in range(len(n) - 1):
-                end = int(np.searchsorted(n, 100 * n[k] // percent, "right"))
-                j = np.arange(k + 1, end)
-                need = -(-percent * (n[k] + n[j]) // (100 + percent))
-                j = j[(label[j] != label[k]) & (np.minimum(left[k], left[j]) >= need) & ((centre[j] != node[k]) | (centre[k] != node[k]))]
-                if len(j):
-                    out.append((np.minimum(node[k], node[j]), np.maximum(node[k], node[j])))
-                    size += len(j)
+            at = _starts(key)
+            ends, left = np.append(at[1:], len(key)), n - pos
+            mixed = np.minimum.reduceat(label, at) != np.maximum.reduceat(label, at)
+            out, size = [], 0
+            for low, high in zip(at[mixed].tolist(), ends[mixed].tolist()):
+                for k in range(low, high - 1):
+                    j = np.arange(k + 1, k + 1 + int(np.searchsorted(n[k + 1 : high], 100 * n[k] // percent, "right")))
+                    need = -(-percent * (n[k] + n[j]) // (100 + percent))
+                    j = j[(label[j] != label[k]) & (np.minimum(left[k], left[j]) >= need) & ((centre[j] != node[k]) | (centre[k] != node[k]))]
+                    if len(j):
+                        out.append((np.minimum(node[k], node[j]), np.maximum(node[k], node[j])))
+                        size += len(j)
                 if size > 50_000:
                     yield _emit(out, ["a", "b"])
                     out, size = [], 0
-        if out:
-            yield _emit(out, ["a", "b"])
+            if out:
+                yield _emit(out, ["a", "b"])
 
     dealt = rows.repartition("key").sortWithinPartitions("key", "n", "node")
     return dealt.select("key", "n", "node", "pos", "centre", "label").mapInArrow(paired, "a long, b long").distinct()

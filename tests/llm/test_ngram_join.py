@@ -75,6 +75,20 @@ def test_bounds_and_reach():
         assert (nj._values(x.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()) >> np.uint64(16) == x >> np.uint64(16)).all()
 
 
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcé") for _ in range(rng.choice([1, 2, 5, 30, 300]))) for _ in range(300)]
+    monkeypatch.setattr(nj, "_SPAN", 200)
+    monkeypatch.setattr(nj, "_LONG", 250)
+    nj._powers.cache_clear()
+    got = nj.words_of("\n ".join(words).encode())
+    alone = {w: nj.words_of(w.encode())[0] for w in words}
+    assert got.tolist() == [alone[w] for w in words]
+    assert len(set(alone.values())) == len(alone)
+    assert nj.words_of(("x " + "y" * 500 + " x").encode())[[0, 2]].tolist() == [nj.words_of(b"X")[0]] * 2
+    nj._powers.cache_clear()
+
+
 def test_components_of_paths(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 90), (90, 90), (None, 3), (100, 90), (80, 100)], "a long, b long")
     got = {r.node: r.label for r in components(links).collect()}
