@@ -2,12 +2,13 @@ r"""Toxicity by a weighted lexicon.
 
 A text is folded (homoglyphs, accents and case to plain letters, digits and signs that stand for letters to those
 letters, signs inside words dropped) and matched by one Aho-Corasick automaton that holds the lexicon's entries and
-the exception phrases.  Entries begin at a word's beginning; those that end in a blank are whole words.  An entry
-inside an exception phrase does not count.  The sum of weights is normalised by the length of the text.
+the exception phrases.  Words with accents are matched in a second form too, which keeps them.  Entries begin at a
+word's beginning; those that end in a blank are whole words.  An entry inside an exception phrase does not count.  The
+sum of weights is normalised by the length of the text.
 
-The lexicon is learnt from labelled rows: words and beginnings of words whose document frequency differs between the
-labels, with their log odds as weights.  Fitting reads at most ``SAMPLE`` labelled documents, those with the smallest
-hashes of their ids; the bound is a parameter.
+The lexicon is learnt from labelled rows: words and beginnings of words, with or without their accents, that occur at
+different rates in the labels' texts, every repetition counted; weights are log ratios of those rates.  Fitting reads
+at most ``SAMPLE`` labelled documents, those with the smallest hashes of their ids; the bound is a parameter.
 """
 
 from __future__ import annotations
@@ -39,23 +40,35 @@ _EDGE = re.compile(r"^[^\w@$€]+|[^\w$€]+$")
 
 
 @functools.lru_cache(maxsize=200_000)
-def fold_word(word: str) -> str:
-    """A word in plain small letters.  Words without a letter are kept as they are, without signs."""
+def fold_forms(word: str) -> tuple[str, str]:
+    """A word in plain small letters, and the same with its accents.  Words without a letter are kept as they are, without signs."""
     word = _EDGE.sub("", unicodedata.normalize("NFKD", word.casefold()))
     if not _LETTER.search(word):
-        return re.sub(r"\W", "", word)
-    out = []
+        return (re.sub(r"\W", "", word),) * 2
+    out, accented = [], []
     for c in word:
         c = HOMOGLYPHS.get(c, c)
         c = SUBSTITUTES.get(c, c)
         if c.isalpha():
             out.append(c)
-    return "".join(out)
+            accented.append(c)
+        elif out and unicodedata.combining(c):
+            accented.append(c)
+    return "".join(out), unicodedata.normalize("NFC", "".join(accented))
+
+
+def fold_word(word: str) -> str:
+    return fold_forms(word)[0]
+
+
+def fold_both(text: str) -> tuple[str, str]:
+    """The folded words with a blank before and after each, and the same with accents; both have the same words in order."""
+    forms = [f for f in map(fold_forms, _WORD.findall(text)) if f[0]]
+    return f" {' '.join(f[0] for f in forms)} ", f" {' '.join(f[1] for f in forms)} "
 
 
 def fold(text: str) -> str:
-    """The folded words with a blank before and after each."""
-    return f" {' '.join(w for w in map(fold_word, _WORD.findall(text)) if w)} "
+    return fold_both(text)[0]
 
 
 @dataclass
@@ -82,76 +95,117 @@ class Lexicon:
         return found
 
     def density(self, automaton, text: str) -> float:
-        folded = fold(text)
-        words = folded.count(" ") - 1
+        return self._sum(self.found(automaton, text))
+
+    def found(self, automaton, text: str) -> tuple[list[float], int]:
+        """The weights of the words that count, and the number of words."""
+        plain, accented = fold_both(text)
+        words = plain.count(" ") - 1
         if words < 1 or not len(automaton):
-            return 0.0
-        spared, hits = [], []
-        for end, (n, w) in automaton.iter(folded):
-            (spared if w is None else hits).append((end - n + 1, end, w))
-        best: dict[int, float] = {}  # a word counts once, by its weightiest entry
-        for a, b, w in hits:
-            if not any(x <= a and b <= y for x, y, _ in spared):
-                best[a] = max(best.get(a, w), w) if w > 0 else min(best.get(a, 0.0), w) if best.get(a, 0.0) <= 0 else best[a]
-        return sum(best.values()) / math.sqrt(words + 1)
+            return [], 0
+        best: dict[int, float] = {}  # a word counts once, by its weightiest entry in either form
+        for form in (plain,) if plain == accented else (plain, accented):
+            spared, hits = [], []
+            for end, (n, w) in automaton.iter(form):
+                (spared if w is None else hits).append((end - n + 1, end, w))
+            at = word = 0
+            for a, b, w in sorted(hits):
+                if not any(x <= a and b <= y for x, y, _ in spared):
+                    word, at = word + form.count(" ", at, a), a  # a word has the same number in both forms
+                    best[word] = max(best.get(word, w), w) if w > 0 else min(best.get(word, 0.0), w) if best.get(word, 0.0) <= 0 else best[word]
+        return list(best.values()), words
+
+    @staticmethod
+    def _sum(found: tuple[list[float], int], least: float = -math.inf) -> float:
+        return sum(w for w in found[0] if w >= least) / math.sqrt(found[1] + 1)
 
     def score(self, automaton, text: str) -> float:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * (self.density(automaton, text) - self.middle)))))
 
 
-def _entries(folded: str) -> set[str]:
-    """What of a folded text may become an entry: whole words, and beginnings of 4 to 7 letters of longer ones."""
+@functools.lru_cache(maxsize=200_000)
+def _word_entries(plain: str, accented: str) -> frozenset[str]:
+    """What of a word may become an entry: the whole word, and beginnings of 4 to 7 letters of a longer one, in either form."""
     found = set()
-    for word in set(folded.split()):
+    for word in (plain, accented):
         if len(word) > 2:
             found.add(f" {word} ")
             found.update(f" {word[:n]}" for n in range(4, min(8, len(word))))
+    return frozenset(found)
+
+
+def _entries(plain: str, accented: str) -> Counter:
+    """How often a folded text, given in both forms, has each possible entry."""
+    found = Counter()
+    for forms, k in Counter(zip(plain.split(), accented.split())).items():
+        for entry in _word_entries(*forms):
+            found[entry] += k
     return found
 
 
-def learn(labelled: list[tuple[str, int]], *, least: int = 5, share: float = 0.015, purity: float = 0.95, exceptions: tuple[str, ...] = ()) -> Lexicon:
+def _limit(clean: list[float], toxic: list[float]) -> tuple[float, float, float]:
+    """The errors that the best limit on densities makes, and the neighbouring densities that it parts.
+
+    Errors are shares of the texts of either label, added.  Of equal limits the one within the widest gap is taken."""
+    every = sorted([(d, 0) for d in clean] + [(d, 1) for d in toxic])
+    spared, missed, best = len(clean), 0, (1.0, 0.0, every[0][0] - 1.0, every[0][0])
+    for k, (d, y) in enumerate(every):
+        spared, missed = spared - (1 - y), missed + y
+        after = every[k + 1][0] if k + 1 < len(every) else d + 1.0
+        if after > d:
+            best = min(best, (spared / len(clean) + missed / len(toxic), d - after, d, after))
+    return best[0], best[2], best[3]
+
+
+#: Least weights that are tried, from few entries to many.
+CUTS = (5.0, 4.5, 4.0, 3.5, 3.0, 2.5, 2.0, 1.5, 1.0)
+
+
+def learn(labelled: list[tuple[str, int]], *, least: int = 5, share: float = 0.015, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """A lexicon from (text, label) pairs.
 
-    An entry needs ``least`` different texts of label 1, and a ``share`` of them, and, after smoothing, ``purity`` at equal
-    numbers of texts of either label.  Of an entry and its beginning the weightier one stays.  The scale puts a score of one half midway between what clean documents reach
-    and what most documents of label 1 reach.
+    An entry needs ``least`` different texts of label 1, and a ``share`` of them.  Its weight is the log ratio of what one
+    text of either label has of it in the mean, each occurrence divided by the root of the text's length as in the
+    score, so that a stem counts which other texts have once and these repeat.  A longer entry stays beside its
+    beginning, and an accented one beside its plain form, only if it weighs 0.5 more.  The entries are grouped by least
+    weight; the group and the limit on densities are those that make the fewest errors on the labels, and the scale
+    puts a score of 0.7 between the two texts that the limit parts.
     """
     labelled = sorted({(t or "", int(y)) for t, y in labelled})
-    texts = [(fold(t), y) for t, y in labelled]
+    texts = [(fold_both(t), y) for t, y in labelled]
     n1 = sum(y for _, y in texts)
     n0 = len(texts) - n1
     if not n1 or not n0:
         return Lexicon(exceptions=exceptions)
-    bad, good = Counter(), Counter()
-    for t, y in texts:
+    held, rates = Counter(), (Counter(), Counter())
+    for forms, y in texts:
         if y:
-            bad.update(_entries(t))
-    bad = {entry: k for entry, k in bad.items() if k >= max(least, share * n1)}
-    for t, y in texts:
-        if not y:
-            good.update(_entries(t) & bad.keys())
+            held.update(_entries(*forms).keys())
+    held = {entry for entry, k in held.items() if k >= max(least, share * n1)}
+    for forms, y in texts:
+        size = math.sqrt(forms[0].count(" "))
+        for entry, k in _entries(*forms).items():
+            if entry in held:
+                rates[y][entry] += k / size
+    half = 0.5 / math.sqrt(sorted(forms[0].count(" ") for forms, _ in texts)[len(texts) // 2])  # half an occurrence in a middling text
     weights = {}
-    for entry, k in bad.items():
-        p, q = (k + 0.5) / (n1 + 1), (good[entry] + 0.5) / (n0 + 1)
-        if p / (p + q) >= purity and k / n1 >= 4 * good[entry] / n0:
-            weights[entry] = math.log(p / q)
-    for entry in sorted(weights, key=len, reverse=True):
-        stem = entry.rstrip()
-        stems = [stem[:n] for n in range(5, len(stem) + (entry != stem)) if stem[:n] in weights]
-        if any(weights[x] >= weights[entry] - 0.5 for x in stems):
-            del weights[entry]
-        else:
-            for x in stems:
-                del weights[x]
+    for entry in sorted(held, key=lambda e: (len(e), fold(e).strip() != e.strip(), e)):
+        w = math.log((rates[1][entry] + half) / (n1 + 1)) - math.log((rates[0][entry] + half) / (n0 + 1))
+        plain = " " + fold(entry).strip()
+        stems = [x for n in range(5, len(entry) + 1) for x in (entry[:n], plain[:n]) if x != entry] + [plain + " "] * (entry[-1] == " " and plain != entry[:-1])
+        if w >= CUTS[-1] and all(w >= weights.get(x, 0.0) + 0.5 for x in stems):
+            weights[entry] = w
     lexicon = Lexicon(weights, exceptions)
     automaton = lexicon.automaton()
-    clean = sorted(lexicon.density(automaton, t) for t, y in labelled if not y)
-    toxic = sorted(lexicon.density(automaton, t) for t, y in labelled if y)
-    low, high = clean[min(len(clean) - 1, int(0.999 * len(clean)))], toxic[int(0.02 * len(toxic))]
-    if high <= low:
-        high = max(low + 1e-6, toxic[len(toxic) // 2])
-    lexicon.middle = low + (high - low) * 0.4
-    lexicon.slope = 8 / max(high - low, 1e-6)
+    found = [(lexicon.found(automaton, t), y) for t, y in labelled]
+    tried = []
+    for cut in CUTS:
+        clean, toxic = ([lexicon._sum(f, cut) for f, y in found if y == label] for label in (0, 1))
+        tried.append((*_limit(clean, toxic), cut))
+    _, low, high, cut = min(tried, key=lambda x: x[0])  # the fewest entries of equals
+    lexicon.weights = {entry: w for entry, w in weights.items() if w >= cut}
+    lexicon.slope = 8 / max(high - low, 0.2)
+    lexicon.middle = (low + high) / 2 - math.log(0.7 / 0.3) / lexicon.slope
     return lexicon
 
 

@@ -56,6 +56,38 @@ def test_held_out_labels_do_not_matter(spark):
     assert sorted(map(tuple, tx.toxicity(docs, real).collect())) == sorted(map(tuple, tx.toxicity(docs, other).collect()))
 
 
+def repeated(stem, other, n=400, seed=5):
+    """Texts of which every fifth is toxic and repeats a stem; every sixth clean one has it once, every third has ``other``."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    rows = []
+    for i in range(n):
+        text, y = [rng.choice(words) for _ in range(rng.randint(60, 120))], int(i % 5 == 0)
+        for _ in range(rng.randint(4, 8) if y else i % 6 == 1):
+            text.insert(rng.randrange(len(text)), stem + rng.choice(words))
+        for _ in range(3 if not y and i % 3 == 2 else 0):
+            text.insert(rng.randrange(len(text)), other + rng.choice(words))
+        rows.append((" ".join(text), y))
+    return rows
+
+
+def test_repetition_and_accents_count():
+    for stem, other in (("zorklich", "vampen"), ("réeux", "reeux")):
+        rows = repeated(stem, other)
+        lexicon = tx.learn(rows[:250])
+        automaton = lexicon.automaton()
+        held = [(lexicon.score(automaton, t) >= 0.7, y) for t, y in rows[250:]]
+        assert sum(p == y for p, y in held) >= 0.97 * len(held)
+        assert sum(p for p, y in held if y) >= 0.9 * sum(y for _, y in held)
+
+
+def test_forms_have_the_same_words():
+    for text in ("Réeux d'Été ... 12.5 n\u0303a", "\u0301a é\u00b4x ª ŉ", "", "Łódź Straße ІDІ0T"):
+        plain, accented = tx.fold_both(text)
+        assert plain == tx.fold(text) and plain.count(" ") == accented.count(" ")
+    assert tx.fold_both("Réeux re\u0301eux") == (" reeux reeux ", " réeux réeux ")
+
+
 def test_no_rows(spark):
     docs, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
     assert tx.toxicity(docs, labels).count() == 0
