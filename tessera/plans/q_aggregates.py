@@ -134,11 +134,12 @@ def a15(v: Tables):
 _MATRIX = "pos AS (SELECT DISTINCT chrom, pos FROM calls WHERE called = 1 AND pos % 40 = 0), mat AS (SELECT r.read, r.sample, p.chrom, p.pos, coalesce(max(c.called), 0) AS v FROM pos p JOIN reads r ON r.chrom = p.chrom AND p.pos >= r.lo AND p.pos < r.hi LEFT JOIN calls c ON c.read = r.read AND c.pos = p.pos GROUP BY r.read, r.sample, p.chrom, p.pos)"
 
 
-def _matrix(v: Tables):
-    pos = v.calls.where("called = 1 AND pos % 40 = 0").select("chrom", "pos").distinct()
-    cov = I.point_join(pos, v.reads).select(F.col("b_read").alias("read"), F.col("b_sample").alias("sample"), F.col("a_chrom").alias("chrom"), F.col("a_pos").alias("pos"))
-    c = v.calls.groupBy("read", "pos").agg(F.max("called").alias("v"))
-    return cov.join(c, ["read", "pos"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
+def _matrix(v: Tables, sites: str = "called = 1 AND pos % 40 = 0"):
+    pos = v.calls.where(sites).select("chrom", "pos").distinct()
+    # each read carries its own few calls, so that the matrix, far larger than its sources, is never shuffled
+    c = v.calls.groupBy("read", "pos").agg(F.max("called").alias("v")).groupBy("read").agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("own"))
+    cov = I.point_join(pos, v.reads.join(c, "read", "left"))
+    return cov.select(F.col("b_read").alias("read"), F.col("b_sample").alias("sample"), F.col("a_chrom").alias("chrom"), F.col("a_pos").alias("pos"), F.coalesce(F.element_at("b_own", F.col("a_pos")), F.lit(0)).alias("v"))
 
 
 @query("a17_matrix", f"WITH {_MATRIX} SELECT read, pos, v FROM mat")
@@ -151,6 +152,20 @@ def a16(v: Tables):
     return _matrix(v).groupBy("chrom", "pos").agg(F.count("*").alias("reads"), F.sum("v").alias("calls")).where("reads >= 3")
 
 
+# the two above at every called site
+_WHOLE_MATRIX = _MATRIX.replace(" AND pos % 40 = 0", "")
+
+
+@query("a17_matrix_all", f"WITH {_WHOLE_MATRIX} SELECT read, pos, v FROM mat")
+def a17_all(v: Tables):
+    return _matrix(v, "called = 1").select("read", "pos", "v")
+
+
+@query("a16_observed_columns_all", f"WITH {_WHOLE_MATRIX} SELECT chrom, pos, count(*) AS reads, CAST(sum(v) AS BIGINT) AS calls FROM mat GROUP BY chrom, pos HAVING count(*) >= 3")
+def a16_all(v: Tables):
+    return _matrix(v, "called = 1").groupBy("chrom", "pos").agg(F.count("*").alias("reads"), F.sum("v").alias("calls")).where("reads >= 3")
+
+
 @query("a18_read_info", "SELECT read, min(lo) AS lo, max(hi) AS hi, count(*) AS blocks, min(sample) AS sample FROM elements GROUP BY read")
 def a18(v: Tables):
     return v.elements.groupBy("read").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("blocks"), F.min("sample").alias("sample"))
