@@ -1,8 +1,12 @@
 """Queries over whole tables leave no row out: held against plain versions on the smallest supplied tables."""
 
+import math
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tessera.plans import QUERIES
+from tessera.plans.q_statistics import _log_factorial
 from tessera.plans.registry import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +29,19 @@ def test_matrix_has_every_called_site(spark):
         sums[chrom[read], p][1] += x
     columns = {(r.chrom, r.pos): [r.reads, r.calls] for r in QUERIES["a16_observed_columns_all"](spark, SF).collect()}
     assert columns == {k: x for k, x in sums.items() if x[0] >= 3} and any(p % 40 for _, p in columns)
+
+
+def test_separation_of_groups_of_every_size(spark):
+    v = Tables(spark, SF)
+    sizes = {r["gene"]: r["count"] for r in v.clusters.groupBy("gene").count().collect()}
+    got = {r.gene: r for r in QUERIES["x11_separation_all"](spark, SF).collect()}
+    assert set(got) == set(sizes)
+    first = {r["gene"]: r["count"] for r in v.clusters.where("sample = 0").groupBy("gene").count().collect()}
+    for gene, n in sizes.items():
+        assert abs(got[gene].log_least_p + math.log(math.comb(n, first.get(gene, 0)))) < 1e-5
+
+
+def test_log_factorial(spark):
+    some = [0, 1, 2, 5, 39, 40, 41, 1000, 10**7]
+    got = spark.createDataFrame([(n,) for n in some], "n long").select("n", _log_factorial(F.col("n")).alias("f")).collect()
+    assert all(abs(r.f - math.lgamma(r.n + 1)) <= 1e-10 + 1e-14 * r.f for r in got)
