@@ -131,6 +131,13 @@ def a15(v: Tables):
     return c.groupBy("read").agg(F.sum("called").alias("s")).crossJoin(F.broadcast(sites)).select("read", F.round(F.col("s") / F.col("sites"), 6).alias("proportion"))
 
 
+@query("a15_read_proportion_all", "SELECT c.chrom, c.read, round(sum(c.called) * 1.0 / s.sites, 6) AS proportion FROM calls c LEFT JOIN (SELECT chrom, count(DISTINCT pos) AS sites FROM calls WHERE called = 1 GROUP BY chrom) s ON s.chrom = c.chrom GROUP BY c.chrom, c.read, s.sites")
+def a15_all(v: Tables):
+    sites = v.calls.where("called = 1").groupBy("chrom").agg(F.countDistinct("pos").alias("sites"))
+    each = v.calls.groupBy("chrom", "read").agg(F.sum("called").alias("s"))
+    return each.join(F.broadcast(sites), "chrom", "left").select("chrom", "read", F.round(F.col("s") / F.col("sites"), 6).alias("proportion"))
+
+
 _MATRIX = "pos AS (SELECT DISTINCT chrom, pos FROM calls WHERE called = 1 AND pos % 40 = 0), mat AS (SELECT r.read, r.sample, p.chrom, p.pos, coalesce(max(c.called), 0) AS v FROM pos p JOIN reads r ON r.chrom = p.chrom AND p.pos >= r.lo AND p.pos < r.hi LEFT JOIN calls c ON c.read = r.read AND c.pos = p.pos GROUP BY r.read, r.sample, p.chrom, p.pos)"
 
 
@@ -195,6 +202,12 @@ def a23(v: Tables):
     return each.distinct().groupBy("pos").agg(F.count("*").alias("n"))
 
 
+@query("a23_occupancy_all", f"WITH {_BLK} SELECT chrom, pos, count(DISTINCT read) AS n FROM (SELECT read, chrom, unnest(generate_series(lo, hi - 1)) AS pos FROM blk) GROUP BY chrom, pos")
+def a23_all(v: Tables):
+    each = B.expand(v.beds).select("read", "chrom", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"))
+    return each.distinct().groupBy("chrom", "pos").agg(F.count("*").alias("n"))
+
+
 @query("a26_composition", "WITH n AS (SELECT cluster, sample, count(*) AS n FROM clusters WHERE cluster IS NOT NULL GROUP BY cluster, sample), g AS (SELECT c.cluster, s.sample FROM (SELECT DISTINCT cluster FROM clusters WHERE cluster IS NOT NULL) c CROSS JOIN (SELECT DISTINCT sample FROM clusters) s) SELECT g.cluster, g.sample, coalesce(n.n, 0) AS n, round(coalesce(n.n, 0) * 1.0 / sum(coalesce(n.n, 0)) OVER (PARTITION BY g.cluster), 6) AS proportion FROM g LEFT JOIN n ON g.cluster = n.cluster AND g.sample = n.sample")
 def a26(v: Tables):
     some = v.clusters.where("cluster IS NOT NULL")

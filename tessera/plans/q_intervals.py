@@ -98,6 +98,11 @@ def t23(v: Tables):
     return v.benchmark.select(F.col("item_id").alias("doc_id"), B.reverse_complement(F.substring("text", 1, 60)).alias("rc"), F.round(B.cpg_ratio(F.col("text")), 6).alias("cpg"))
 
 
+@query("t23_reverse_complement_all", "SELECT item_id AS doc_id, reverse(translate(text, 'ACGTNacgtn', 'TGCANtgcan')) AS rc, length(text) AS n FROM benchmark")
+def t23_all(v: Tables):
+    return v.benchmark.select(F.col("item_id").alias("doc_id"), B.reverse_complement(F.col("text")).alias("rc"), F.length("text").cast("long").alias("n"))
+
+
 @query("t26_chromosome_filter", "SELECT n_nationkey, concat('chr', CAST(n_nationkey AS VARCHAR)) AS chrom FROM nation WHERE regexp_matches(concat('chr', CAST(n_nationkey AS VARCHAR)), '^chr([1-9]|1[0-9]|2[0-2]|X|Y)$')")
 def t26(v: Tables):
     name = F.concat(F.lit("chr"), F.col("n_nationkey").cast("string"))

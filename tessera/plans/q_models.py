@@ -48,8 +48,11 @@ def x42(v: Tables):
 
 @query("y20_topics")
 def y20(v: Tables):
-    n = v.calls.where("chrom = 1").withColumn("bin", F.floor((F.col("pos") % 1000) / 100)).groupBy("sample", "read", "bin").agg(F.count("*").alias("n"))
-    return M.fit_topics(n, group="sample", row="read", feature="bin", n="n")
+    place = F.struct("chrom", "sample").alias("place")
+    n = v.calls.withColumn("bin", F.floor((F.col("pos") % 1000) / 100)).groupBy(F.to_json(place).alias("place"), "read", "bin").agg(F.count("*").alias("n"))
+    each = M.fit_topics(n, group="place", row="read", feature="bin", n="n")
+    of = F.from_json("place", "chrom long, sample long")
+    return each.select(of["chrom"].alias("chrom"), of["sample"].alias("sample"), "row", "loadings", "dominant")
 
 
 @query("y03_acf_peaks")

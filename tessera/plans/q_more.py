@@ -145,6 +145,13 @@ def a64(v: Tables):
     return grid.join(c, "bin", "left").select("bin", "calls", F.coalesce("k", F.lit(0)).alias("chances"), _n(S.ratio(F.col("calls"), F.col("k"))).alias("rate"))
 
 
+@query("a64_observed_profile_all", "SELECT g.chrom, g.bin, CAST(sum(c.called) AS BIGINT) AS calls, count(c.read) AS chances, round(CASE WHEN count(c.read) > 0 THEN sum(c.called) * 1.0 / count(c.read) END, 6) AS rate FROM (SELECT chrom, unnest(generate_series(0, 120)) AS bin FROM (SELECT DISTINCT chrom FROM calls)) g LEFT JOIN calls c ON CAST(floor((c.pos - c.pos % 10) % 1000 / 10.0) AS BIGINT) = g.bin AND c.chrom = g.chrom GROUP BY g.chrom, g.bin")
+def a64_all(v: Tables):
+    c = v.calls.groupBy("chrom", F.floor(((F.col("pos") - F.col("pos") % 10) % 1000) / 10).alias("bin")).agg(F.sum("called").alias("calls"), F.count("*").alias("k"))
+    grid = v.calls.select("chrom").distinct().select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(120).cast("long"))).alias("bin"))
+    return grid.join(c, ["chrom", "bin"], "left").select("chrom", "bin", "calls", F.coalesce("k", F.lit(0)).alias("chances"), _n(S.ratio(F.col("calls"), F.col("k"))).alias("rate"))
+
+
 @query("a72_nearest_class", "SELECT kind, status, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY kind), 6) AS fraction FROM (SELECT kind, CASE WHEN lo % 3 = 0 THEN 'a' WHEN hi % 3 = 0 THEN 'b' ELSE 'c' END AS status FROM regions) GROUP BY kind, status")
 def a72(v: Tables):
     s = F.when(F.col("lo") % 3 == 0, "a").when(F.col("hi") % 3 == 0, "b").otherwise("c")

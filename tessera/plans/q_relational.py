@@ -37,6 +37,12 @@ def f04(v: Tables):
     return P.complete_rows(c, row="read", column="gene", value="v").select("read", "gene", "v")
 
 
+@query("f04_complete_rows_all", "WITH c AS (SELECT read, gene, CASE WHEN cluster IS NULL THEN NULL ELSE cluster % 3 END AS v FROM clusters), g AS (SELECT read FROM c GROUP BY read HAVING count(*) = count(v)), k AS (SELECT c.* FROM c JOIN g ON c.read = g.read) SELECT read, gene, v FROM k WHERE gene IN (SELECT gene FROM k GROUP BY gene HAVING max(abs(v)) > 0)")
+def f04_all(v: Tables):
+    c = v.clusters.select("read", "gene", (F.col("cluster") % 3).alias("v"))
+    return P.complete_rows(c, row="read", column="gene", value="v").select("read", "gene", "v")
+
+
 @query("f05_top_pairs", f"WITH {_FISHER.format(src=_T)}, j AS (SELECT t.*, p.p FROM t JOIN p USING (neither, first, second, joint)) SELECT pair, joint, round(p, 6) AS p FROM j WHERE (joint + 1.0) * (neither + 1) / ((first + 1) * (second + 1)) > 1 ORDER BY round(p, 6), pair LIMIT 10")
 def f05(v: Tables):
     t = S.effects(S.fisher(_pooled(v))).where("odds_ratio > 1").withColumn("p", F.round("p", 6))
@@ -159,6 +165,12 @@ def e16(v: Tables):
     return v.regions.where(n < 200).select("region", F.round(F.aggregate(F.sequence(F.lit(1).cast("long"), n), F.lit(0.0), lambda a, i: a + F.log(i.cast("double"))), 4).alias("log_factorial"))
 
 
+@query("e16_log_factorial_all", "SELECT region, round(lgamma(hi - lo + 1), 4) AS log_factorial FROM regions")
+def e16_all(v: Tables):
+    n = F.col("hi") - F.col("lo")
+    return v.regions.select("region", F.round(F.aggregate(F.sequence(F.lit(1).cast("long"), n), F.lit(0.0), lambda a, i: a + F.log(i.cast("double"))), 4).alias("log_factorial"))
+
+
 # ---------------------------------------------------------------- notebooks and projections (N, P)
 
 

@@ -45,3 +45,22 @@ def test_log_factorial(spark):
     some = [0, 1, 2, 5, 39, 40, 41, 1000, 10**7]
     got = spark.createDataFrame([(n,) for n in some], "n long").select("n", _log_factorial(F.col("n")).alias("f")).collect()
     assert all(abs(r.f - math.lgamma(r.n + 1)) <= 1e-10 + 1e-14 * r.f for r in got)
+
+
+def test_all_chromosomes_genes_widths_and_whole_texts(spark):
+    v = Tables(spark, SF)
+    run = lambda name: QUERIES[name](spark, SF).collect()
+    calls, clusters = v.calls.collect(), v.clusters.collect()
+    assert {(r.chrom, r.read) for r in run("a15_read_proportion_all")} == {(c.chrom, c.read) for c in calls}
+    assert {r.chrom for r in run("a23_occupancy_all")} == {r.chrom for r in v.beds.select("chrom").distinct().collect()}
+    profile = run("a64_observed_profile_all")
+    assert sum(r.chances for r in profile) == len(calls) and len(profile) == 121 * len({c.chrom for c in calls})
+    live = {c.gene for c in clusters if c.cluster is not None and c.cluster % 3}
+    assert {r.read for r in run("f04_complete_rows_all")} == {c.read for c in clusters if c.cluster is not None and c.gene in live}
+    assert {(r.chrom, r.sample, r.row) for r in run("y20_topics")} == {(c.chrom, c.sample, c.read) for c in calls}
+    widths = {r.region: r.hi - r.lo for r in v.regions.collect()}
+    assert {r.region: r.log_factorial for r in run("e16_log_factorial_all")} == {k: round(math.lgamma(n + 1), 4) for k, n in widths.items()}
+    texts = {r.item_id: r.text for r in v.benchmark.collect()}
+    flip = str.maketrans("ACGTNacgtn", "TGCANtgcan")
+    assert {r.doc_id: r.rc for r in run("t23_reverse_complement_all")} == {k: t.translate(flip)[::-1] for k, t in texts.items()}
+    assert max(map(len, texts.values())) > 60
