@@ -34,6 +34,14 @@ SAMPLE = 20_000
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "ո": "n", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ß": "ss", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "æ": "ae", "œ": "oe"}
 #: Digits and signs written for letters.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
+#: Clean words and phrases of the four languages that begin as common insults do ("pathetic", "worthless", "idiot",
+#: "moron", "disgusting", "loser", "stupid", "trash", "clown"), so that learnt beginnings of words do not count in them.
+EXCEPTIONS = tuple(
+    "path|paths|pathway|pathways|pathology|pathological|pathos|worth|worthy|worthwhile|idiom|idioms|idiomatic|idiosyncratic|idiosyncrasy|morocco|moroccan|disguise|disguised|lose|loses|stupor|stupendous|trash can|trash bin|clown fish"
+    "|wort|worte|worten|wortes|wortlaut|wortschatz|pathologie|idiomatisch|idiome"
+    "|tras|trasero|trasera|trasladar|traslado|trasfondo|idioma|idiomas|patología|morosidad|moroso"
+    "|pathologique|idiomatique|morose|morosité|stupeur".split("|")
+)
 _WORD = re.compile(r"\S+")
 _LETTER = re.compile(r"[^\W\d_]")
 _EDGE = re.compile(r"^[^\w@$€]+|[^\w$€]+$")
@@ -88,8 +96,8 @@ class Lexicon:
         for entry, w in self.weights.items():
             found.add_word(entry, (len(entry), w))
         for phrase in self.exceptions:
-            phrase = fold(phrase)
-            found.add_word(phrase, (len(phrase), None))
+            for form in fold_both(phrase):
+                found.add_word(form, (len(form), None))
         if len(found):
             found.make_automaton()
         return found
@@ -161,7 +169,7 @@ def _limit(clean: list[float], toxic: list[float]) -> tuple[float, float, float]
 CUTS = (5.0, 4.5, 4.0, 3.5, 3.0, 2.5, 2.0, 1.5, 1.0)
 
 
-def learn(labelled: list[tuple[str, int]], *, least: int = 5, share: float = 0.015, exceptions: tuple[str, ...] = ()) -> Lexicon:
+def learn(labelled: list[tuple[str, int]], *, least: int = 5, share: float = 0.015, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon from (text, label) pairs.
 
     An entry needs ``least`` different texts of label 1, and a ``share`` of them.  Its weight is the log ratio of what one

@@ -81,6 +81,22 @@ def test_repetition_and_accents_count():
         assert sum(p for p, y in held if y) >= 0.9 * sum(y for _, y in held)
 
 
+def test_the_query_spares_exceptions(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    rows = []
+    for i in range(300):
+        text = [rng.choice(words) for _ in range(40)]
+        for _ in range(5 * (i % 5 == 0)):
+            text.insert(rng.randrange(len(text)), rng.choice(["pathetic", "worthless", "idiotic", "moronic"]))
+        rows.append((i, " ".join(text), int(i % 5 == 0)))
+    clean = "the path to Morocco was worth it, Wort for Wort an idiom; paths are worthy"
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1000, clean), (1001, "pathetic worthless idiot, moronic path")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    by = {r.doc_id: r.predicted for r in tx.toxicity(docs, labels).collect()}
+    assert by[1000] == 0 and by[1001] == 1
+
+
 def test_forms_have_the_same_words():
     for text in ("Réeux d'Été ... 12.5 n\u0303a", "\u0301a é\u00b4x ª ŉ", "", "Łódź Straße ІDІ0T"):
         plain, accented = tx.fold_both(text)
