@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,12 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fresh one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Where it is unset, a session on one machine
+    gets a fresh one; any other master is an error, as its executors would each write to a disk of their own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where
     where = spark.sparkContext.getCheckpointDir()
-    if not where:  # single-machine sessions such as tests
+    if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         where = spark.sparkContext.getCheckpointDir()
     return where
@@ -30,11 +34,22 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Spark then deletes the shuffle files of a query when that query is done.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read back, which cuts its lineage."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as a Parquet table in the shared folder and read back, which cuts its lineage.
+
+    What was shuffled for it is deleted when the table is complete, so that steps do not add up on the disks."""
+    spark = df.sparkSession
+    path, before = new_path(spark, what), spark.conf.get(FREE, "false")
+    spark.conf.set(FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:

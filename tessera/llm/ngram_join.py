@@ -1,23 +1,28 @@
 """Exact Jaccard self-join of documents on sets of word shingles.
 
 Words are what stands between ASCII white space, with A-Z in small letters; a document's set holds the 64-bit hashes of
-its distinct shingles (so results are exact up to collisions, at about n*n/2**64 for a pair with n shingles each).
+its distinct shingles, all bits of which are compared (so results are exact up to collisions, at about n*n/2**64 for a
+pair with n shingles each).
 
 1. Equal sets are one node.  Shingles that recur within blocks of the corpus are counted over all documents; they only
    decide an order, rare before common, by hash among the uncounted.
 2. Each node sends the first shingles of its order, as many as an intersection of the asked size cannot all miss, to
-   tiles: one per shingle, ordered by set size so that only bands of compatible sizes meet.  Tiles of one node go.
-3. Within a tile each node is paired with one centre of its band.  Pairs go through the bound that hashed bitmaps give
-   (the bits that one side lacks count shingles outside the intersection), then through the exact intersection of
-   sorted arrays.  Links give provisional components.
-4. Nodes that share a tile but not a component are all paired, and checked in the same way.  A group of near copies is
-   one component by then, so its pairs are never made; yet no link between components is lost.
+   tiles: one per shingle, ordered by set size so that only bands of compatible sizes meet.  A row stays in its tile only
+   if sizes and positions leave it a partner there.  A tile of a very common shingle is split into parts.
+3. Rows that stay get the hashed bitmap of their set.  Bits that one bitmap lacks count shingles outside the
+   intersection; this bound is applied before a pair leaves its tile.  Each node proposes one partner, the smallest
+   centre that it passes the bound with in any of its tiles; these pairs are checked by exact intersection of sorted
+   arrays, and links give provisional components.
+4. Nodes that share a tile and pass the bounds, but are in different components, propose again, one partner each, and then
+   all such pairs are checked.  A group of near copies is one component by then, so its pairs are never made; yet no
+   link between components is lost.  Within a tile only rows outside its most frequent component look for partners, and
+   in a split tile only these are sent to every part.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,12 @@ WORDS, PERCENT = 5, 75
 COMMON, MOST_COMMON = 24, 1 << 20
 #: Shingles counted at a time within a task; those seen three times in a block take part in the counts.
 BLOCK = 1 << 22
+#: A tile of about so many rows is one part; those of more common shingles are split.
+PART = 50_000
+#: Rows of a tile that are compared with each other before bitmaps are sent; larger tiles stay as they are.
+NEAR = 9
+#: Bits of the longest bitmap; those of larger sets are folded to it.
+MOST_BITS = 1 << 13
 #: Bits of the filter of nodes that need their sets; its size does not depend on the corpus.
 FILTER_BITS = 26
 _MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -115,21 +126,28 @@ def reach(n: int, percent: int) -> int:
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    bits = np.zeros(max(64, 1 << int(len(values) - 1).bit_length()), np.uint8)
+    """Hashed bits of a set, at least two per shingle, at most MOST_BITS."""
+    bits = np.zeros(min(MOST_BITS, max(64, 2 << int(len(values) - 1).bit_length())), np.uint8)
     bits[(values % np.uint64(len(bits))).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little")
 
 
-def bound(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> int:
-    """An upper bound of the intersection from two bitmaps; the longer one is folded to the length of the other."""
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    return min(nx - int(np.bitwise_count(x & ~y).sum()), ny - int(np.bitwise_count(y & ~x).sum()))
+def folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (of words, the last axis) at a smaller width."""
+    while x.shape[-1] > width:
+        half = x.shape[-1] // 2
+        x = x[..., :half] | x[..., half:]
+    return x
 
 
-def similar(i: int, nx: int, ny: int, percent: int) -> bool:
+def bound(x: np.ndarray, nx: int, y: np.ndarray, ny: np.ndarray | int) -> np.ndarray:
+    """Upper bounds of the intersections of one set with others, from bitmaps as 64-bit words (``y``: one per row)."""
+    width = min(x.shape[-1], y.shape[-1])
+    x, y = folded(x, width), folded(y, width)
+    return np.minimum(nx - np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64), ny - np.bitwise_count(y & ~x).sum(axis=-1, dtype=np.int64))
+
+
+def similar(i, nx, ny, percent: int):
     return (100 + percent) * i >= percent * (nx + ny)
 
 
@@ -142,8 +160,8 @@ def _texts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple]:
             yield i, shingles(t.as_buffer().to_pybytes(), words)
 
 
-def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted common shingles and the rank of each by its count.  At most MOST_COMMON of them reach the driver."""
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted common shingles, the rank of each by its count, and the counts.  At most MOST_COMMON reach the driver."""
 
     def blocks(batches):
         held, size, seen = [], 0, set()
@@ -171,51 +189,55 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(keys)
     rank = np.empty(len(keys), np.int32)
     rank[np.lexsort((keys, n))] = np.arange(1, len(keys) + 1)
-    return keys[order], rank[order]
+    return keys[order], rank[order], n[order]
 
 
-def _first(values: np.ndarray, common: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles that a set sends to tiles, in order."""
-    r = np.zeros(len(values), np.int32)
+def _first(values: np.ndarray, common: np.ndarray, rank: np.ndarray, count: np.ndarray, percent: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that a set sends to tiles, in order, and into how many parts each tile is split."""
+    r, parts = np.zeros(len(values), np.int32), np.ones(len(values), np.int32)
     if len(common):
         at = np.minimum(np.searchsorted(common, values), len(common) - 1)
         hit = common[at] == values
         r[hit] = rank[at[hit]]
-    return values[np.lexsort((values, r))[: reach(len(values), percent)]]
+        parts[hit] = 1 + count[at[hit]] // part
+    order = np.lexsort((values, r))[: reach(len(values), percent)]
+    return values[order], parts[order]
 
 
-def nodes(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """``id``, ``n``, ``node`` of every row, and ``first`` on one row per node and task."""
+def nodes(texts: DataFrame, words: int, percent: int, part: int) -> DataFrame:
+    """``id``, ``n``, ``node`` of every row; ``first``, ``parts`` and ``bits`` on one row per node and task."""
     spark = texts.sparkSession
-    common = spark.sparkContext.broadcast(common_shingles(texts, words))  # at most 12 MB
+    common = spark.sparkContext.broadcast(common_shingles(texts, words))  # at most 21 MB
 
-    def sets(batches):
-        seen, rows = set(), []
+    from pyspark.sql.pandas.types import to_arrow_type
 
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (kind, pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["id", "n", "node", "first"])
+    kind = to_arrow_type(texts.schema["id"].dataType)
+    names = ["id", "n", "node", "first", "parts", "bits"]
+    kinds = (kind, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
 
+    def sets(batches):
+        seen, rows = set(), []
         for i, values in _texts(batches, words):
-            node, first = (node_of(values), None) if len(values) else (None, None)
+            node, rest = (node_of(values) if len(values) else None), (None, None, None)
             if node is not None and node not in seen:
                 seen.add(node)
-                first = _first(values, *common.value, percent).view(np.int64)
-            rows.append((i, len(values), node, first))
+                first, parts = _first(values, *common.value, percent, part)
+                rest = first.view(np.int64), parts, bitmap(values).tobytes()
+            rows.append((i, len(values), node, *rest))
             if len(rows) == 500:
-                yield batch()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
                 rows = []
         if rows:
-            yield batch()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = to_arrow_type(texts.schema["id"].dataType)
-    out = T.StructType([texts.schema["id"], *T.StructType.fromDDL("n long, node long, first array<long>")])
-    return texts.mapInArrow(sets, out)
+    out = T.StructType([texts.schema["id"], *T.StructType.fromDDL("n long, node long, first array<long>, parts array<int>, bits binary")])
+    made = written(texts.mapInArrow(sets, out), "nodes")
+    common.destroy()
+    return made
 
 
 def _whole(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """Columns of many rows at a time; a run of equal keys (the first column) is never split, however long."""
+    """Columns of many rows at a time; a run of equal keys (the first column) is never split."""
     held: list[list[np.ndarray]] = []
     for b in batches:
         columns = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
@@ -236,136 +258,302 @@ def _starts(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
 
 
-def _emit(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)], names=names)
+def _emit(columns: Iterable[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names=names)
+
+
+def _needed(nx, ny, percent: int):
+    """The least intersection of two similar sets."""
+    return -(-percent * (nx + ny) // (100 + percent))
+
+
+def narrowed(key, n, node, pos, parts, percent: int) -> np.ndarray:
+    """Which rows of whole tiles stay (sorted by key, size, node): those of split tiles, of tiles with more than NEAR rows
+    besides, and those that sizes and positions leave a partner."""
+    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+    key, n, pos, parts = (c[fresh] for c in (key, n, pos, parts))
+    at = _starts(key)
+    size = np.repeat(np.diff(at, append=len(key)), np.diff(at, append=len(key)))
+    stay = (parts > 1) | (size > NEAR)
+    left = n - pos
+    for gap in range(1, NEAR):
+        if gap >= len(key):
+            break
+        ok = (key[gap:] == key[:-gap]) & (n[gap:] * percent <= n[:-gap] * 100) & (np.minimum(left[gap:], left[:-gap]) >= _needed(n[gap:], n[:-gap], percent))
+        stay[gap:] |= ok
+        stay[:-gap] |= ok
+    out = np.zeros(len(fresh), bool)
+    out[np.flatnonzero(fresh)[stay]] = True
+    return out
 
 
 def tiles(made: DataFrame, percent: int) -> DataFrame:
-    """``key``, ``n``, ``node``, ``pos``, ``centre`` of all tiles with two nodes or more.
-
-    A tile's centre serves the sizes from its own up to what the threshold allows; the next node starts a new band."""
-    rows = made.where("first IS NOT NULL").select("n", "node", F.posexplode("first").alias("pos", "key"))
-
-    def banded(batches):
-        for columns in _whole(batches, ["key", "n", "node", "pos"]):
-            key, n, node, _ = columns
-            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (n[1:] != n[:-1])])[: len(key)]
-            at = _starts(key[fresh])
-            many = np.repeat(np.diff(at, append=int(fresh.sum())) > 1, np.diff(at, append=int(fresh.sum())))
-            key, n, node, pos = (c[fresh][many] for c in columns)
-            if not len(key):
-                continue
-            at = _starts(key)
-            size = np.diff(at, append=len(key))
-            centre = np.repeat(node[at], size)
-            for k in np.flatnonzero(n[at + size - 1] > 100 * n[at] // percent).tolist():  # more than one band
-                low, end = int(at[k]), int(at[k] + size[k])
-                while low < end:
-                    high = low + int(np.searchsorted(n[low:end], 100 * n[low] // percent, "right"))
-                    centre[low:high] = node[low]
-                    low = high
-            yield _emit([(key, n, node, pos, centre)], ["key", "n", "node", "pos", "centre"])
+    """``key``, ``part``, ``parts``, ``n``, ``node``, ``pos`` and ``bits`` of the rows that stay in their tiles."""
+    each = made.where("first IS NOT NULL").select("n", "node", F.posexplode(F.arrays_zip("first", "parts")).alias("pos", "e"))
+    rows = each.select(F.col("e.first").alias("key"), F.expr("cast(pmod(node, e.parts) AS int)").alias("part"), F.col("e.parts").alias("parts"), "n", "node", "pos")
+    names = ["key", "part", "parts", "n", "node", "pos"]
+
+    def stay(batches):
+        # parts of a tile follow each other; rows of split tiles stay in any case
+        for key, part, parts, n, node, pos in _whole(batches, names):
+            keep = narrowed(key, n, node, pos, parts, percent)
+            if keep.any():
+                yield _emit((c[keep] for c in (key, part, parts, n, node, pos)), names)
+
+    dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part", "n", "node")
+    kept = written(dealt.select(*names).mapInArrow(stay, ", ".join(f"{c} long" for c in names)), "tiles")
+    bits = made.where("bits IS NOT NULL").groupBy("node").agg(F.first("bits").alias("bits"))
+    out = written(kept.join(bits, "node").select(*names, "bits"), "tiles")
+    discard(kept)
+    return out
+
+
+class _Tile:
+    """Bitmaps of a tile's rows, sorted by set size, in one table per length."""
+
+    def __init__(self, n: np.ndarray, left: np.ndarray, node: np.ndarray, bits: list[bytes], percent: int):
+        self.n, self.left, self.node, self.percent = n, left, node, percent
+        length = np.array([len(b) for b in bits])
+        at = _starts(length).tolist()
+        self.tables = [(low, high, np.frombuffer(b"".join(bits[low:high]), np.uint64).reshape(high - low, -1)) for low, high in zip(at, [*at[1:], len(bits)])]
+
+    def row(self, k: int) -> np.ndarray:
+        return next(table[k - low] for low, high, table in self.tables if low <= k < high)
+
+    def passing(self, k: int, j: np.ndarray) -> np.ndarray:
+        """Those of the rows ``j`` (in order) that may be similar to row ``k``, by size, position and bitmap."""
+        need = _needed(self.n[k], self.n[j], self.percent)
+        small, large = np.minimum(self.n[k], self.n[j]), np.maximum(self.n[k], self.n[j])
+        j = j[(self.percent * large <= 100 * small) & (np.minimum(self.left[k], self.left[j]) >= need) & (self.node[j] != self.node[k])]
+        out, x = [], self.row(k)
+        for low, high, table in self.tables:
+            own = j[np.searchsorted(j, low) : np.searchsorted(j, high)]
+            if len(own):
+                i = bound(x, int(self.n[k]), table[own - low], self.n[own])
+                out.append(own[similar(i, self.n[k], self.n[own], self.percent)])
+        return np.concatenate(out) if out else j[:0]
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], names: list[str], percent: int) -> Iterator[tuple]:
+    """Each tile (or part) of two rows and more: its columns and its bitmaps.  ``tile`` is the first column."""
+    for columns in _whole(batches, names):
+        at = _starts(columns[0])
+        for low, high in zip(at.tolist(), [*at[1:].tolist(), len(columns[0])]):
+            if high - low > 1:
+                own = dict(zip(names, (c[low:high] for c in columns)))
+                yield own, _Tile(own["n"], own["n"] - own["pos"], own["node"], own["bits"].tolist(), percent)
+
+
+def _dealt(rows: DataFrame, *more: str) -> tuple[DataFrame, list[str]]:
+    """Rows by tile and part, sorted by size; ``tile`` is a hash of both."""
+    names = ["tile", "key", "part", "n", "node", "pos", "bits", *more]
+    keyed = rows.withColumn("tile", F.xxhash64("key", "part"))
+    return keyed.repartition("tile").sortWithinPartitions("tile", "key", "part", "n", "node").select(*names), names
+
+
+def picked(rows: DataFrame, percent: int) -> DataFrame:
+    """``node``, ``partner``: for every node that passes the bounds with any other in a tile, the smallest centre, or itself.
+
+    A tile's first row is a centre; rows that pass with it are its own, and the first of the others is the next centre.
+    A centre without rows of its own looks among all rows of the tile.  All rows of split tiles are included."""
+
+    def chosen(batches):
+        held, size = [], 0
+
+        def least():
+            node, n, partner = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((partner, n, node))
+            first = order[_starts(node[order])]
+            return _emit((node[first], n[first], partner[first]), ["node", "n", "partner"])
+
+        for own, tile in _tiles(batches, names, percent):
+            n, node = own["n"], own["node"]
+            free, every = np.arange(len(node)), np.arange(len(node))
+            while len(free):
+                centre, free = int(free[0]), free[1:]
+                got = tile.passing(centre, free)
+                if len(got):
+                    held.append((node[got], np.full(len(got), n[centre]), np.full(len(got), node[centre])))
+                    held.append((node[[centre]], n[[centre]], node[[centre]]))
+                    free = np.setdiff1d(free, got, assume_unique=True)
+                    size += len(got) + 1
+                elif len(got := tile.passing(centre, every)):
+                    held.append((node[[centre]], n[got[:1]], node[got[:1]]))
+                    size += 1
+            if size > 50_000:
+                yield least()
+                held, size = [], 0
+        if held:
+            yield least()
 
-    dealt = rows.repartition("key").sortWithinPartitions("key", "n", "node")
-    return dealt.select("key", "n", "node", "pos").mapInArrow(banded, "key long, n long, node long, pos long, centre long")
+    dealt, names = _dealt(rows)
+    own = dealt.mapInArrow(chosen, "node long, n long, partner long")
+    split = rows.where("parts > 1").select("node", "n", F.col("node").alias("partner"))
+    every = own.unionByName(split).groupBy("node").agg(F.min(F.struct("n", "partner")).alias("p"))
+    return every.select("node", F.col("p.partner").alias("partner"))
 
 
-def across(rows: DataFrame, percent: int) -> DataFrame:
-    """``a``, ``b``: pairs of one tile in different components, of compatible sizes, that may be similar judging by how
-    much of either order is left behind the shared shingle."""
+def labelled(rows: DataFrame, wanted: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of wanted nodes in tiles that hold two components or more, with ``label`` and ``own``.
+
+    Rows outside the most frequent component of a split tile are sent to each of its parts; ``own`` marks the part that
+    they belong to."""
+    known = wanted.join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    with_label = written(rows.join(known, "node"), "tiles")
+    split = with_label.where("parts > 1")
+    one = with_label.where("parts = 1")
+    mixed = one.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
+    plain = one.join(mixed, "key", "left_semi").withColumn("own", F.lit(1).cast("long"))
+    major = split.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.count("*").alias("labels"))
+    spread = split.join(major.where("labels > 1").select("key", "major"), "key")
+    target = F.when(F.col("label") == F.col("major"), F.array("part")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    spread = spread.withColumn("to", F.explode(target)).withColumn("own", (F.col("to") == F.col("part")).cast("long")).withColumn("part", F.col("to"))
+    columns = [*rows.columns, "label", "own"]
+    return plain.select(*columns).unionByName(spread.select(*columns))
+
+
+def across(rows: DataFrame, percent: int, *, once: bool) -> DataFrame:
+    """``a``, ``b``: pairs of one tile in different components that pass the bounds; ``once``: one per node and task."""
 
     def paired(batches):
-        for columns in _whole(batches, ["key", "n", "node", "pos", "centre", "label"]):
-            key, n, node, pos, centre, label = columns
-            if not len(key):
+        held, size, chosen = [], 0, set()
+        for own, tile in _tiles(batches, names, percent):
+            node, label, home = own["node"], own["label"], own["own"] > 0
+            kinds, at, many = np.unique(label, return_inverse=True, return_counts=True)
+            if len(kinds) < 2:
                 continue
-            at = _starts(key)
-            ends, left = np.append(at[1:], len(key)), n - pos
-            mixed = np.minimum.reduceat(label, at) != np.maximum.reduceat(label, at)
-            out, size = [], 0
-            for low, high in zip(at[mixed].tolist(), ends[mixed].tolist()):
-                for k in range(low, high - 1):
-                    j = np.arange(k + 1, k + 1 + int(np.searchsorted(n[k + 1 : high], 100 * n[k] // percent, "right")))
-                    need = -(-percent * (n[k] + n[j]) // (100 + percent))
-                    j = j[(label[j] != label[k]) & (np.minimum(left[k], left[j]) >= need) & ((centre[j] != node[k]) | (centre[k] != node[k]))]
-                    if len(j):
-                        out.append((np.minimum(node[k], node[j]), np.maximum(node[k], node[j])))
-                        size += len(j)
+            minor = at != int(many.argmax())
+            every = np.arange(len(node))
+            for k in np.flatnonzero(minor).tolist():
+                if once and int(node[k]) in chosen:
+                    continue
+                # a pair of two rows outside the most frequent component is made by the first of them
+                j = tile.passing(k, every[(label != label[k]) & (~minor | (every > k)) & (home | home[k])])
+                if once and len(j):
+                    j = j[int(node[k]) % len(j) :][:1]
+                    chosen.add(int(node[k]))
+                if len(j):
+                    held.append((np.minimum(node[k], node[j]), np.maximum(node[k], node[j])))
+                    size += len(j)
                 if size > 50_000:
-                    yield _emit(out, ["a", "b"])
-                    out, size = [], 0
-            if out:
-                yield _emit(out, ["a", "b"])
+                    yield _emit(np.unique(np.concatenate([np.stack(p) for p in held], axis=1), axis=1), ["a", "b"])
+                    held, size = [], 0
+        if held:
+            yield _emit(np.unique(np.concatenate([np.stack(p) for p in held], axis=1), axis=1), ["a", "b"])
 
-    dealt = rows.repartition("key").sortWithinPartitions("key", "n", "node")
-    return dealt.select("key", "n", "node", "pos", "centre", "label").mapInArrow(paired, "a long, b long").distinct()
+    dealt, names = _dealt(rows, "label", "own")
+    return dealt.mapInArrow(paired, "a long, b long").distinct()
 
 
-def sets_of(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``node``, ``n``, ``bits``, ``values`` of the wanted nodes, made anew from the texts.  A filter of fixed size,
-    2 ** FILTER_BITS bits, spares most other documents; what it lets through by chance does no harm."""
-    place = F.shiftrightunsigned("node", 64 - FILTER_BITS)
-    marked = wanted.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits"))
-    got = marked.toArrow()
-    filled = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    filled[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    shared = texts.sparkSession.sparkContext.broadcast(filled)  # 8 MB, always
+class _Filter:
+    """A filter of nodes of fixed size, 2 ** FILTER_BITS bits: what it lets through by chance does no harm."""
 
-    def made(batches):
-        rows, seen, marks = [], set(), shared.value
+    def __init__(self, wanted: DataFrame):
+        place = F.shiftrightunsigned("node", 64 - FILTER_BITS)
+        marked = wanted.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits"))
+        got = marked.toArrow()
+        filled = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+        filled[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+        self.shared = wanted.sparkSession.sparkContext.broadcast(filled.view(np.uint64))  # 8 MB, always
 
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "n", "bits", "values"])
+    def has(self, node: np.ndarray) -> np.ndarray:
+        at = node.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+        return (self.shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
+
+def sets_of(texts: DataFrame, stars: DataFrame, words: int) -> DataFrame:
+    """``node``, ``values``, ``partner`` of the nodes of ``stars``, made anew from the texts."""
+    marks = _Filter(stars.select("node"))
+
+    def made(batches):
+        rows, seen = [], set()
         for _, values in _texts(batches, words):
             if not len(values):
                 continue
             node = node_of(values)
-            at = (node & (2**64 - 1)) >> (64 - FILTER_BITS)
-            if not int(marks[at >> 6]) >> (at & 63) & 1 or node in seen:
+            if node in seen or not marks.has(np.array([node]))[0]:
                 continue
             seen.add(node)
-            # six bytes of each hash, in order: about n * n / 2**48 of the pairs could take two shingles for one
-            rows.append((node, len(values), bitmap(values).tobytes(), values.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()))
+            rows.append((node, values.tobytes()))
             if len(rows) == 500:
-                yield batch()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["node", "values"])
                 rows = []
         if rows:
-            yield batch()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["node", "values"])
 
-    return texts.mapInArrow(made, "node long, n long, bits binary, values binary").dropDuplicates(["node"])
+    each = texts.mapInArrow(made, "node long, values binary").groupBy("node").agg(F.first("values").alias("values"))
+    sets = written(each.join(stars.hint("merge"), "node").select("node", "values", "partner"), "sets")
+    marks.shared.destroy()
+    return sets
 
 
-def _values(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _similar(both: DataFrame, percent: int) -> DataFrame:
+    """The links among rows of ``a``, ``b`` and their sets ``x``, ``y``, by the intersection of the sorted arrays."""
 
+    def check(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                keep.append(similar(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), percent))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are similar: first by the bitmaps' bound, then, for what passes, by exact intersection."""
+    return written(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
 
-    def check(test):
-        def kept(batches):
-            for b in batches:
-                rows = zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), b.column("x"), b.column("y"))
-                keep = pa.array([similar(test(x.as_py(), na, y.as_py(), nb), na, nb, percent) for na, nb, x, y in rows], pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
-        return kept
+def _asked(sets: DataFrame, nodes: DataFrame) -> tuple:
+    """The sets that are asked for (and few others), and the filter to destroy when they have been used."""
+    marks = _Filter(nodes)
 
-    def bits(x, na, y, nb):
-        return bound(np.frombuffer(x, np.uint8), na, np.frombuffer(y, np.uint8), nb)
+    def kept(batches):
+        for b in batches:
+            yield b.filter(pa.array(marks.has(b.column("node").to_numpy())))
 
-    def exact(x, na, y, nb):
-        return len(np.intersect1d(_values(x), _values(y), assume_unique=True))
+    return marks.shared, sets.select("node", "values").mapInArrow(kept, "node long, values binary")
 
-    for column, test in (("bits", bits), ("values", exact)):
-        left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col(column).alias("x"))
-        right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col(column).alias("y"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "x", "y")
-        pairs = both.mapInArrow(check(test), "a long, b long")
-    return pairs
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are similar.  Only sets that a pair asks for are sent, by merge joins: AQE splits a set that very
+    many pairs ask for."""
+    pairs = written(pairs, "pairs")
+    (am, left), (bm, right) = (_asked(sets, pairs.select(F.col(c).alias("node"))) for c in "ab")
+    left, right = left.select(F.col("node").alias("a"), F.col("values").alias("x")), right.select(F.col("node").alias("b"), F.col("values").alias("y"))
+    links = _similar(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b"), percent)
+    am.destroy()
+    bm.destroy()
+    discard(pairs)
+    return links
+
+
+def stars_of(sets: DataFrame, percent: int) -> DataFrame:
+    """The links between nodes and the partners that they picked: each set is sent once, to its partner's."""
+    members = sets.where("node <> partner").select(F.col("partner").alias("a"), F.col("node").alias("b"), F.col("values").alias("y"))
+    marks, centres = _asked(sets, members.select(F.col("a").alias("node")))
+    links = _similar(members.join(centres.select(F.col("node").alias("a"), F.col("values").alias("x")).hint("merge"), "a"), percent)
+    marks.destroy()
+    return links
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, part: int = PART) -> tuple[DataFrame, DataFrame]:
+    """Membership (``id``, ``n``, ``node``) of every row and the links (``a``, ``b``) between nodes that connect all
+    similar ones: every similar pair is a link or within a component of links.  ``part``: rows of a tile's part, about."""
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
+    made = nodes(texts, words, percent, part)
+    rows = tiles(made, percent)
+    stars = written(picked(rows, percent), "stars")
+    sets = sets_of(texts, stars, words)
+    links = stars_of(sets, percent)
+    apart = rows
+    for once in (True, False):
+        before, apart = apart, written(labelled(apart, stars.select("node"), links), "tiles")
+        discard(before)
+        links = links.unionByName(verified(across(apart, percent, once=once), sets, percent))
+        mine = apart.where("own = 1").select(*rows.columns)
+        apart, shown = mine, apart
+    for table in (shown, stars, sets):
+        discard(table)
+    return made.select("id", "n", "node"), links
 
 
 def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -384,23 +572,6 @@ def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return kept.dropDuplicates([id_col, "__h"]).drop("__h")
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Membership (``id``, ``n``, ``node``) of every row and the links (``a``, ``b``) between nodes that connect all
-    similar ones: every similar pair is a link or within a component of links."""
-    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
-    made = written(nodes(texts, words, percent), "nodes")
-    shared = written(tiles(made, percent), "tiles")
-    sets = written(sets_of(texts, shared.select("node").distinct(), words), "sets")
-    stars = shared.where("centre <> node").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-    links = written(verified(stars, sets, percent), "links")
-    labels = components(links)
-    labelled = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    more = written(verified(across(labelled, percent), sets, percent), "links")
-    discard(shared)
-    discard(sets)
-    return made.select("id", "n", "node"), links.unionByName(more)
-
-
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id`` (the smallest id reachable by links) of every row.
 
