@@ -60,6 +60,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the like, that no column has."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def text_of(column: str = "text"):
     """The text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, text_of, written
+from .common import discard, fresh, text_of, written
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -41,8 +41,8 @@ COMMON, MOST_COMMON = 24, 1 << 20
 BLOCK = 1 << 22
 #: A tile of about so many rows is one part; those of more common shingles are split.
 PART = 50_000
-#: Rows of a tile that are compared with each other before bitmaps are sent; larger tiles stay as they are.
-NEAR = 9
+#: Tiles of up to so many rows are worked at many at a time, all pairs of each; larger ones by themselves.
+NEAR = 16
 #: Bits of the longest bitmap; those of larger sets are folded to it.
 MOST_BITS = 1 << 13
 #: Bits of the filter of nodes that need their sets; its size does not depend on the corpus.
@@ -268,8 +268,8 @@ def _needed(nx, ny, percent: int):
 
 
 def narrowed(key, n, node, pos, parts, percent: int) -> np.ndarray:
-    """Which rows of whole tiles stay (sorted by key, size, node): those of split tiles, of tiles with more than NEAR rows
-    besides, and those that sizes and positions leave a partner."""
+    """Which rows of whole tiles stay (sorted by key, size, node): those of split tiles, of tiles with more than NEAR rows,
+    and those that sizes and positions leave a partner."""
     fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
     key, n, pos, parts = (c[fresh] for c in (key, n, pos, parts))
     at = _starts(key)
@@ -334,15 +334,57 @@ class _Tile:
         return np.concatenate(out) if out else j[:0]
 
 
+def _small(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where tiles begin, and how many rows each has."""
+    at = _starts(key)
+    return at, np.diff(at, append=len(key))
+
+
+def near_pairs(own: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs (i before j) of rows in tiles of at most NEAR rows that pass all bounds.
+
+    Rows are sorted by tile and set size."""
+    n, node, left, tile = own["n"], own["node"], own["n"] - own["pos"], own["tile"]
+    at, size = _small(tile)
+    small = np.repeat(size <= NEAR, size)
+    parts = []
+    for gap in range(1, min(NEAR, len(n))):
+        i = np.flatnonzero(small[:-gap] & (tile[gap:] == tile[:-gap]))
+        j = i + gap
+        parts.append(i[(percent * n[j] <= 100 * n[i]) & (np.minimum(left[i], left[j]) >= _needed(n[i], n[j], percent)) & (node[i] != node[j])])
+        if not len(i):
+            break
+    i = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    j = i + np.repeat(np.arange(1, len(parts) + 1), [len(p) for p in parts])
+    bits = own["bits"].tolist()
+    length = np.array([len(b) for b in bits], np.int64) // 8
+    words, begin = np.frombuffer(b"".join(bits), np.uint64), np.cumsum(length) - length
+    good = np.zeros(len(i), bool)
+    for lx, ly in {*zip(length[i].tolist(), length[j].tolist())}:
+        pairs = np.flatnonzero((length[i] == lx) & (length[j] == ly))
+        for chunk in np.array_split(pairs, 1 + len(pairs) * ly // 1_000_000):
+            x = words[begin[i[chunk]][:, None] + np.arange(lx)]
+            y = folded(words[begin[j[chunk]][:, None] + np.arange(ly)], lx)
+            nx, ny = n[i[chunk]], n[j[chunk]]
+            most = np.minimum(nx - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), ny - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            good[chunk] = similar(most, nx, ny, percent)
+    return i[good], j[good]
+
+
 def _tiles(batches: Iterator[pa.RecordBatch], names: list[str], percent: int) -> Iterator[tuple]:
-    """Each tile (or part) of two rows and more: its columns and its bitmaps.  ``tile`` is the first column."""
+    """Columns of many whole tiles (or parts; ``tile`` is the first column), the passing pairs of the small ones, and the
+    large ones one by one: columns and bitmaps."""
     for columns in _whole(batches, names):
-        at = _starts(columns[0])
-        for low, high in zip(at.tolist(), [*at[1:].tolist(), len(columns[0])]):
-            if high - low > 1:
-                own = dict(zip(names, (c[low:high] for c in columns)))
+        every = dict(zip(names, columns))
+        at, size = _small(columns[0])
+
+        def large():
+            for k in np.flatnonzero(size > NEAR).tolist():
+                own = {c: v[at[k] : at[k] + size[k]] for c, v in every.items()}
                 yield own, _Tile(own["n"], own["n"] - own["pos"], own["node"], own["bits"].tolist(), percent)
 
+        yield every, near_pairs(every, percent), large()
+
 
 def _dealt(rows: DataFrame, *more: str) -> tuple[DataFrame, list[str]]:
     """Rows by tile and part, sorted by size; ``tile`` is a hash of both."""
@@ -354,37 +396,31 @@ def _dealt(rows: DataFrame, *more: str) -> tuple[DataFrame, list[str]]:
 def picked(rows: DataFrame, percent: int) -> DataFrame:
     """``node``, ``partner``: for every node that passes the bounds with any other in a tile, the smallest centre, or itself.
 
-    A tile's first row is a centre; rows that pass with it are its own, and the first of the others is the next centre.
-    A centre without rows of its own looks among all rows of the tile.  All rows of split tiles are included."""
+    In a tile of many rows the first is a centre; rows that pass with it are its own, and the first of the others is the
+    next centre.  A centre without rows of its own looks among all rows of the tile.  All rows of split tiles are
+    included."""
 
     def chosen(batches):
-        held, size = [], 0
-
-        def least():
+        for every, (i, j), large in _tiles(batches, names, percent):
+            n, node = every["n"], every["node"]
+            held = [(node[j], n[i], node[i]), (node[i], n[i], node[i])]
+            for own, tile in large:
+                n, node = own["n"], own["node"]
+                free, rest = np.arange(len(node)), np.arange(len(node))
+                while len(free):
+                    centre, free = int(free[0]), free[1:]
+                    got = tile.passing(centre, free)
+                    if len(got):
+                        held.append((node[got], np.full(len(got), n[centre]), np.full(len(got), node[centre])))
+                        held.append((node[[centre]], n[[centre]], node[[centre]]))
+                        free = np.setdiff1d(free, got, assume_unique=True)
+                    elif len(got := tile.passing(centre, rest)):
+                        held.append((node[[centre]], n[got[:1]], node[got[:1]]))
             node, n, partner = (np.concatenate(c) for c in zip(*held))
-            order = np.lexsort((partner, n, node))
-            first = order[_starts(node[order])]
-            return _emit((node[first], n[first], partner[first]), ["node", "n", "partner"])
-
-        for own, tile in _tiles(batches, names, percent):
-            n, node = own["n"], own["node"]
-            free, every = np.arange(len(node)), np.arange(len(node))
-            while len(free):
-                centre, free = int(free[0]), free[1:]
-                got = tile.passing(centre, free)
-                if len(got):
-                    held.append((node[got], np.full(len(got), n[centre]), np.full(len(got), node[centre])))
-                    held.append((node[[centre]], n[[centre]], node[[centre]]))
-                    free = np.setdiff1d(free, got, assume_unique=True)
-                    size += len(got) + 1
-                elif len(got := tile.passing(centre, every)):
-                    held.append((node[[centre]], n[got[:1]], node[got[:1]]))
-                    size += 1
-            if size > 50_000:
-                yield least()
-                held, size = [], 0
-        if held:
-            yield least()
+            if len(node):
+                order = np.lexsort((partner, n, node))
+                first = order[_starts(node[order])]
+                yield _emit((node[first], n[first], partner[first]), ["node", "n", "partner"])
 
     dealt, names = _dealt(rows)
     own = dealt.mapInArrow(chosen, "node long, n long, partner long")
@@ -393,12 +429,12 @@ def picked(rows: DataFrame, percent: int) -> DataFrame:
     return every.select("node", F.col("p.partner").alias("partner"))
 
 
-def labelled(rows: DataFrame, wanted: DataFrame, links: DataFrame) -> DataFrame:
+def labelled(rows: DataFrame, wanted: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of wanted nodes in tiles that hold two components or more, with ``label`` and ``own``.
 
     Rows outside the most frequent component of a split tile are sent to each of its parts; ``own`` marks the part that
     they belong to."""
-    known = wanted.join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    known = wanted.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     with_label = written(rows.join(known, "node"), "tiles")
     split = with_label.where("parts > 1")
     one = with_label.where("parts = 1")
@@ -413,33 +449,28 @@ def labelled(rows: DataFrame, wanted: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def across(rows: DataFrame, percent: int, *, once: bool) -> DataFrame:
-    """``a``, ``b``: pairs of one tile in different components that pass the bounds; ``once``: one per node and task."""
+    """``a``, ``b``: pairs of one tile in different components that pass the bounds; ``once``: one per node and batch."""
 
     def paired(batches):
-        held, size, chosen = [], 0, set()
-        for own, tile in _tiles(batches, names, percent):
-            node, label, home = own["node"], own["label"], own["own"] > 0
-            kinds, at, many = np.unique(label, return_inverse=True, return_counts=True)
-            if len(kinds) < 2:
-                continue
-            minor = at != int(many.argmax())
-            every = np.arange(len(node))
-            for k in np.flatnonzero(minor).tolist():
-                if once and int(node[k]) in chosen:
-                    continue
-                # a pair of two rows outside the most frequent component is made by the first of them
-                j = tile.passing(k, every[(label != label[k]) & (~minor | (every > k)) & (home | home[k])])
-                if once and len(j):
-                    j = j[int(node[k]) % len(j) :][:1]
-                    chosen.add(int(node[k]))
-                if len(j):
-                    held.append((np.minimum(node[k], node[j]), np.maximum(node[k], node[j])))
-                    size += len(j)
-                if size > 50_000:
-                    yield _emit(np.unique(np.concatenate([np.stack(p) for p in held], axis=1), axis=1), ["a", "b"])
-                    held, size = [], 0
-        if held:
-            yield _emit(np.unique(np.concatenate([np.stack(p) for p in held], axis=1), axis=1), ["a", "b"])
+        for every, (i, j), large in _tiles(batches, names, percent):
+            node, label, home = every["node"], every["label"], every["own"] > 0
+            apart = (label[i] != label[j]) & (home[i] | home[j])
+            held = [(node[i[apart]], node[j[apart]])]
+            for own, tile in large:
+                node, label, home = own["node"], own["label"], own["own"] > 0
+                kinds, at, many = np.unique(label, return_inverse=True, return_counts=True)
+                minor, rest = at != int(many.argmax()), np.arange(len(node))
+                for k in np.flatnonzero(minor).tolist():
+                    # a pair of two rows outside the most frequent component is made by the first of them
+                    got = tile.passing(k, rest[(label != label[k]) & (~minor | (rest > k)) & (home | home[k])])
+                    if len(got):
+                        got = got[int(node[k]) % len(got) :][:1] if once else got
+                        held.append((np.full(len(got), node[k]), node[got]))
+            x, y = (np.concatenate(c) for c in zip(*held))
+            if len(x):
+                x, y = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                first = _starts(x) if once else slice(None)
+                yield _emit((x[first], y[first]), ["a", "b"])
 
     dealt, names = _dealt(rows, "label", "own")
     return dealt.mapInArrow(paired, "a long, b long").distinct()
@@ -536,40 +567,40 @@ def stars_of(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, part: int = PART) -> tuple[DataFrame, DataFrame]:
-    """Membership (``id``, ``n``, ``node``) of every row and the links (``a``, ``b``) between nodes that connect all
-    similar ones: every similar pair is a link or within a component of links.  ``part``: rows of a tile's part, about."""
+    """Membership (``id``, ``n``, ``node``) of every row, and ``node``, ``label`` of every node that is linked with others:
+    the components of all links between similar nodes.  ``part``: rows of a tile's part, about."""
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
     made = nodes(texts, words, percent, part)
     rows = tiles(made, percent)
     stars = written(picked(rows, percent), "stars")
     sets = sets_of(texts, stars, words)
-    links = stars_of(sets, percent)
-    apart = rows
+    labels, apart = components(stars_of(sets, percent)), rows
     for once in (True, False):
-        before, apart = apart, written(labelled(apart, stars.select("node"), links), "tiles")
+        before, table = apart, written(labelled(apart, stars.select("node"), labels), "tiles")
         discard(before)
-        links = links.unionByName(verified(across(apart, percent, once=once), sets, percent))
-        mine = apart.where("own = 1").select(*rows.columns)
-        apart, shown = mine, apart
-    for table in (shown, stars, sets):
+        links = verified(across(table, percent, once=once), sets, percent)
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
+        apart = table.where("own = 1").select(*rows.columns)
+    for table in (apart, stars, sets):
         discard(table)
-    return made.select("id", "n", "node"), links
+    return made.select("id", "n", "node"), labels
 
 
 def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each component: the smallest id (null ids last), then the smallest hash of the text.
 
     Documents without words are components of their own.  Rows that repeat both id and text count as one."""
-    hashed = docs.withColumn("__h", F.xxhash64(text_of(text_col)))
+    mark = fresh(docs, "hash")
+    hashed = docs.withColumn(mark, F.xxhash64(text_of(text_col)))
     # the row's id and hash travel as its id
-    members, links = join(hashed.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__h").alias("h")).alias("id"), text_of(text_col).alias("text")), id_col="id", text_col="text", **options)
+    members, labels = join(hashed.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(mark).alias("h")).alias("id"), text_of(text_col).alias("text")), id_col="id", text_col="text", **options)
     least = members.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("own"))
-    labelled = least.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     chosen = labelled.groupBy("label").agg(F.min("own").alias("id")).select("id.id", "id.h")
     empty = members.where("node IS NULL").select("id.id", "id.h")
     d, c = hashed.alias("d"), chosen.unionByName(empty).alias("c")
-    kept = d.join(c, F.col(f"d.{id_col}").eqNullSafe(F.col("c.id")) & (F.col("d.__h") == F.col("c.h")), "left_semi")
-    return kept.dropDuplicates([id_col, "__h"]).drop("__h")
+    kept = d.join(c, F.col(f"d.{id_col}").eqNullSafe(F.col("c.id")) & (F.col(f"d.{mark}") == F.col("c.h")), "left_semi")
+    return kept.dropDuplicates([id_col, mark]).drop(mark)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -578,9 +609,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Null texts count as empty; empty texts are linked with nothing.  Null ids are never smallest: a component of rows
     without any id has a null.  Rows that repeat an id are documents of their own.  Other columns are ignored.
     """
-    members, links = join(docs, id_col=id_col, text_col=text_col, words=words, percent=percent)
+    members, labels = join(docs, id_col=id_col, text_col=text_col, words=words, percent=percent)
     least = members.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("own"))
-    labelled = least.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = labelled.groupBy("label").agg(F.min("own").alias("smallest"))
     component = labelled.join(smallest, "label").select("node", "smallest")
     return members.join(component, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("smallest")).alias("component_id"))

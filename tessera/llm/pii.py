@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import fresh, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -148,8 +148,9 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
     Null texts stay null.  Only rows with spans are matched to them by id and hash."""
     kept = docs.columns
     got = all_spans(docs, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0).select("id", "h", "spans").distinct().alias("g")
-    rows = docs.withColumn("__h", F.xxhash64(text_of(text_col))).alias("d")
-    both = rows.join(got, F.col(f"d.{id_col}").eqNullSafe(F.col("g.id")) & (F.col("d.__h") == F.col("g.h")), "left")
+    mark = fresh(docs, "hash")
+    rows = docs.withColumn(mark, F.xxhash64(text_of(text_col))).alias("d")
+    both = rows.join(got, F.col(f"d.{id_col}").eqNullSafe(F.col("g.id")) & (F.col(f"d.{mark}") == F.col("g.h")), "left")
     ordered = "array_sort(transform(g.spans, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind)))"
     merged = f"""aggregate({ordered}, cast(array() AS array<struct<start:int,end:int,kind:string>>),
         (a, s) -> if(size(a) > 0 AND s.start < element_at(a, -1).end,

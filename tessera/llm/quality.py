@@ -1,168 +1,297 @@
-"""Quality by the perplexity of an n-gram model with interpolated modified Kneser-Ney smoothing.
+r"""Quality by the perplexity of an n-gram model with interpolated modified Kneser-Ney smoothing.
 
-The model is over characters of a fixed alphabet of 48 classes (small letters, one class of capitals, white space,
-digits, common signs), of order 4.  All trusted text is counted, by shards of the n-gram key.  The alphabet bounds the
-number of n-grams, hence the model, by 48 ** 4 whatever the corpus, so that scoring documents is a join of their
-n-grams with the shards' probabilities by position in one dense table.  A document is rejected when its perplexity
-exceeds a quantile, times a margin, of the trusted documents of its language.
+The model is over code points, whatever their script, of order 5.  All trusted text is counted.  Counts, continuation
+counts, discounts and probabilities of all orders are tables, sharded by n-gram and joined by Spark; the driver only
+sees the counts of counts.  A document's perplexity is per character.  It is rejected when its perplexity exceeds a
+quantile, times a margin, of those trusted documents of its language that the model has not seen: one in ten.
+
+Documents are dealt into blocks.  A block asks for each of its different n-grams once; the probabilities, with those of
+shorter n-grams where the whole one is unknown, are joined by n-gram and come back to the block ahead of its documents,
+which are then scored one after the other.  So neither the model nor a block's documents are ever held as a whole.
 """
 
 from __future__ import annotations
 
-import functools
+import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
-
-ORDER = 4
-SIGNS = ".,!?|$%#&*@'\"-"
-SIZE = 48
-_BOUNDARY, _CAPITAL, _ACCENTED, _OTHER_LETTER, _DIGIT, _SPACE, _LINE, _SIGN, _OTHER = 0, 27, 28, 29, 30, 31, 32, 33, 47
-
-
-@functools.cache
-def _classes() -> np.ndarray:
-    """Class of each code point below U+3000; all later ones count as letters of other scripts."""
-    out = np.full(0x3000, _OTHER, np.uint8)
-    for i in range(0x3000):
-        c = chr(i)
-        if "a" <= c <= "z":
-            out[i] = 1 + i - ord("a")
-        elif c.isupper():
-            out[i] = _CAPITAL
-        elif c.isalpha():
-            out[i] = _ACCENTED if i < 0x250 else _OTHER_LETTER
-        elif c.isdigit():
-            out[i] = _DIGIT
-        elif c in "\n\r\v\f":
-            out[i] = _LINE
-        elif c.isspace():
-            out[i] = _SPACE
-        elif c in SIGNS:
-            out[i] = _SIGN + SIGNS.index(c)
+from .common import discard, text_of, written
+
+ORDER = 5
+#: Stands in front of a text; it and the null character count as blanks inside one.
+BOUNDARY = "\x02"
+#: A document is scored as if it began with so many characters of the trusted text's mean, so that a few unlikely
+#: letters do not condemn a very short text.
+PRIOR = 50
+#: What no history knows is spread over all code points.
+CODE_POINTS = 0x110000
+#: Characters looked at a time, and different n-grams held before they are handed on.
+SPAN, HELD = 1 << 21, 1 << 21
+_BASE = np.uint64(0x9FB21C651E98DF25)
+
+
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts with boundaries in front of each, and where each text ends."""
+    pad = BOUNDARY * (ORDER - 1)
+    clean = [pad + t.replace(BOUNDARY, " ").replace("\0", " ") for t in texts]
+    return np.frombuffer("".join(clean).encode("utf-32-le", "replace"), "<u4"), np.cumsum([len(t) for t in clean])
+
+
+def _keys(windows: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(windows), np.uint64)
+    for k in range(ORDER):
+        out = (out + windows[:, k] + np.uint64(1)) * _BASE
+        out ^= out >> np.uint64(29)
     return out
 
 
-def symbols(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-    out = np.full(len(points), _OTHER_LETTER, np.uint8)
-    low = points < 0x3000
-    out[low] = _classes()[points[low]]
-    return out
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams (rows of code points) that end at each character, their keys, and the number of them in each text."""
+    points, ends = _points(texts)
+    starts = np.concatenate([[0], ends[:-1]])
+    n = ends - starts - (ORDER - 1)
+    if not n.sum():
+        return np.zeros((0, ORDER), np.uint32), np.zeros(0, np.uint64), n
+    first = np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    windows = np.lib.stride_tricks.sliding_window_view(points, ORDER)[first]
+    return windows, _keys(windows), n
+
+
+def _pieces(texts: Iterator[str]) -> Iterator[list[str]]:
+    """Texts in lists of SPAN characters, about."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size > SPAN:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _counted(texts: Iterator[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Different n-grams and their counts, added up over as many texts as HELD different n-grams allow."""
+    windows, keys, counts = np.zeros((0, ORDER), np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for piece in _pieces(texts):
+        w, k, _ = _grams(piece)
+        k, at, n = np.unique(k, return_index=True, return_counts=True)
+        windows, keys, counts = np.concatenate([windows, w[at]]), np.concatenate([keys, k]), np.concatenate([counts, n])
+        keys, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        windows, counts = windows[at], np.bincount(back, counts).astype(np.int64)
+        if len(keys) > HELD:
+            yield windows, counts
+            windows, keys, counts = windows[:0], keys[:0], counts[:0]
+    if len(keys):
+        yield windows, counts
+
+
+def _strings(windows: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(windows, "<u4").view(f"<U{ORDER}").ravel(), pa.string())
+
+
+def language(column: str) -> Column:
+    """A language code of two or three letters, else ``other``: at most 18,253 values."""
+    code = F.lower(F.col(column))
+    return F.when(code.rlike("^[a-z]{2,3}$"), code).otherwise("other")
 
 
-def grams(text: str) -> np.ndarray:
-    """Keys of the n-grams that end at each character, with boundaries in front."""
-    s = np.concatenate([np.zeros(ORDER - 1, np.int32), symbols(text).astype(np.int32)])
-    n = len(s) - ORDER + 1
-    key = s[:n].copy()
-    for k in range(1, ORDER):
-        key *= SIZE
-        key += s[k : k + n]
-    return key
+# ---------------------------------------------------------------- the model
 
 
-def _smooth(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """One order of interpolated modified Kneser-Ney: ``counts`` by history and symbol, ``lower`` of the next order."""
-    n1, n2, n3, n4 = (int((counts == k).sum()) for k in (1, 2, 3, 4))
+def count_grams(texts: DataFrame) -> DataFrame:
+    """``gram``, ``n`` over all of a table of texts ``t``: counted in each task, then added up by shards."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for windows, counts in _counted(t.as_py() for b in batches for t in b.column("t")):
+            for low in range(0, len(counts), 100_000):
+                yield pa.RecordBatch.from_arrays([_strings(windows[low : low + 100_000]), pa.array(counts[low : low + 100_000])], names=["gram", "n"])
+
+    return texts.mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
+    """The discounts of counts 1, 2 and more, from how many n-grams have the counts 1 to 4."""
     y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    d1, d2, d3 = (min(k, max(0.05, k - (k + 1) * y * b / a)) if a and b else 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
-    total = counts.sum(axis=-1, keepdims=True)
-    discount = np.select([counts == 0, counts == 1, counts == 2], [0, d1, d2], d3)
-    spare = discount.sum(axis=-1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = (counts - discount) / total + spare / total * lower
-    return np.where(total > 0, p, lower)
+    return tuple(min(k, max(0.05, k - (k + 1) * y * b / a)) if a and b else 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-@dataclass
 class Model:
-    #: Log probability of every n-gram's last symbol, as one dense table of SIZE ** ORDER floats.
-    log_p: np.ndarray
-    #: Its mean over the trusted text; each document is scored as if it began with ``prior`` such characters, so that a
-    #: few unlikely letters do not condemn a very short text.
-    mean: float
-    prior: int = 50
+    """For each order, tables of probabilities by n-gram (``gram``, ``p``) and of the share that a history leaves to the
+    next lower order (``h``, ``g``); ``unknown``: the probability of a character that was never seen."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.p, self.g, self.unknown, self.mean = spark, {}, {}, 1.0, 0.0
 
-def model(keys: np.ndarray, counts: np.ndarray) -> Model:
-    top = np.zeros(SIZE**ORDER, np.float64)
-    top[keys] = counts
-    tables = [top.reshape((SIZE,) * ORDER)]
-    while tables[-1].ndim > 1:  # continuation counts: how many different symbols stand in front
-        tables.append((tables[-1] > 0).sum(axis=0).astype(np.float64))
-    p = np.full(SIZE, 1 / SIZE)
-    for counted in reversed(tables):
-        p = _smooth(counted, np.broadcast_to(p, counted.shape))
-    log_p = np.log(np.maximum(p, 1e-12)).astype(np.float32).ravel()
-    return Model(log_p, float(np.average(log_p[keys], weights=counts)) if len(keys) else 0.0)
+    def drop(self) -> None:
+        for table in (*self.p.values(), *self.g.values()):
+            discard(table)
 
 
-def perplexity(m: Model, text: str) -> float | None:
-    """Per character; None for an empty text."""
-    if not text:
-        return None
-    found = m.log_p[grams(text)]
-    return float(np.exp(-(found.sum(dtype=np.float64) + m.prior * m.mean) / (len(found) + m.prior)))
+def train(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of all texts whose id is among ``trusted`` (one column of ids)."""
+    texts = _squeezed(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")), "id")
+    texts = texts.join(trusted.toDF("id").hint("merge"), "id", "left_semi")
+    counts = {ORDER: written(count_grams(_plain(texts)), "grams")}
+    for k in range(ORDER - 1, 0, -1):  # continuation counts: how many different characters stand in front
+        counts[k] = written(counts[k + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), "grams")
+    out = Model(docs.sparkSession)
+    of_counts = None
+    for k, table in counts.items():
+        row = table.agg(F.lit(k).alias("k"), *(F.count(F.when(F.col("n") == c, 1)).alias(f"n{c}") for c in (1, 2, 3, 4)))
+        of_counts = row if of_counts is None else of_counts.unionByName(row)
+    seen = {r["k"]: r for r in of_counts.collect()}  # one row per order
+    lower = F.lit(1 / CODE_POINTS)
+    for k in range(1, ORDER + 1):
+        d1, d2, d3 = discounts(*(seen[k][f"n{c}"] for c in (1, 2, 3, 4)))
+        d = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+        rows = counts[k].withColumn("d", d).withColumn("h", F.expr(f"substring(gram, 1, {k - 1})"))
+        out.g[k] = written(rows.groupBy("h").agg(F.sum("n").cast("double").alias("all"), (F.sum("d") / F.sum("n")).alias("g")), "share")
+        rows = rows.join(out.g[k], "h")
+        if k > 1:
+            rows = rows.withColumn("s", F.expr("substring(gram, 2)")).join(out.p[k - 1].select(F.col("gram").alias("s"), F.col("p").alias("q")), "s")
+            lower = F.col("q")
+        out.p[k] = written(rows.select("gram", "n", ((F.col("n") - F.col("d")) / F.col("all") + F.col("g") * lower).alias("p")), "likely")
+        discard(counts[k])
+    first = out.g[1].first()
+    out.unknown = (first["g"] if first else 1.0) / CODE_POINTS
+    if first:
+        out.mean = out.p[ORDER].agg(F.sum(F.col("n") * F.log("p")) / F.sum("n")).first()[0]
+    return out
 
 
-# ---------------------------------------------------------------- Spark
+def _resolved(m: Model, grams: DataFrame) -> DataFrame:
+    """``gram``, ``log_p`` of different n-grams: from the highest order that knows them, times the shares left to it."""
+    rows, chain = grams, F.lit(m.unknown)
+    for k in range(1, ORDER + 1):
+        own = F.col("gram") if k == ORDER else F.expr(f"substring(gram, {ORDER - k + 1})")
+        rows = rows.withColumn(f"gram{k}", own).withColumn(f"h{k}", F.expr(f"substring(gram, {ORDER - k + 1}, {k - 1})"))
+    for k in range(1, ORDER + 1):
+        rows = rows.join(m.p[k].select(F.col("gram").alias(f"gram{k}"), F.col("p").alias(f"p{k}")), f"gram{k}", "left")
+        if k > 1:
+            rows = rows.join(m.g[k].select(F.col("h").alias(f"h{k}"), F.col("g").alias(f"g{k}")), f"h{k}", "left")
+            chain = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"g{k}"), F.lit(1.0)) * chain)
+        else:
+            chain = F.coalesce(F.col("p1"), chain)
+    return rows.select("gram", F.log(chain).alias("log_p"))
 
 
-def language(column: str) -> Column:
-    """A language code of two or three letters, else ``other``: at most 18,253 values."""
-    code = F.lower(F.col(column))
-    return F.when(code.rlike("^[a-z]{2,3}$"), code).otherwise("other")
+# ---------------------------------------------------------------- documents
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """``gram``, ``n`` over all of a table of texts ``t``: counted in each task, then added up by shards of the key."""
+def _squeezed(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and ``z``: the texts ``t`` compressed, as less is shuffled then (null where the text is)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SIZE**ORDER, np.int64)
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            part, size = [], 0
-            for t in b.column("t"):
-                part.append(grams(t.as_py()))
-                size += len(part[-1])
-                if size > 4_000_000:
-                    seen += np.bincount(np.concatenate(part), minlength=len(seen))
-                    part, size = [], 0
-            if part:
-                seen += np.bincount(np.concatenate(part), minlength=len(seen))
-        keys = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(seen[keys])], names=["gram", "n"])
+            z = [None if not t.is_valid else press.compress(t.as_buffer().to_pybytes()) for t in b.column("t")]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(z, pa.binary())], names=[*keys, "z"])
 
-    return texts.mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return rows.select(*keys, "t").mapInArrow(squeeze, T.StructType([*(rows.schema[k] for k in keys), T.StructField("z", T.BinaryType())]))
 
 
-def train(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model of all texts whose id is among ``trusted`` (one column of ids)."""
-    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).join(trusted.toDF("id").hint("merge"), "id", "left_semi").select("t")
-    got = count_grams(texts).toArrow()  # at most SIZE ** ORDER rows, whatever the corpus
-    return model(got.column("gram").to_numpy(), got.column("n").to_numpy())
+def _text(z: pa.Scalar, press: zstandard.ZstdDecompressor) -> str:
+    return press.decompress(z.as_py()).decode("utf-8", "replace") if z.is_valid else ""
 
 
-def with_perplexity(docs: DataFrame, m: Model, *, text_col: str = "text", into: str = "perplexity") -> DataFrame:
-    """``docs`` with a column of perplexities, null for null and empty texts.  Replaces a column of that name."""
-    kept = [c for c in docs.columns if c != into]
-    out = T.StructType([*(docs.schema[c] for c in kept), T.StructField(into, T.DoubleType())])
-    at, table = kept.index(text_col), docs.sparkSession.sparkContext.broadcast(m)  # 21 MB, always
+def _plain(rows: DataFrame) -> DataFrame:
+    """``t``: the texts of compressed ones."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = table.value
+    def loosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
         for b in batches:
-            values = [perplexity(p, t.as_py() or "") for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.float64())], names=out.names)
+            for low in range(0, b.num_rows, 500):
+                yield pa.RecordBatch.from_arrays([pa.array([_text(z, press) for z in b.column("z").slice(low, 500)], pa.string())], names=["t"])
+
+    return rows.select("z").mapInArrow(loosen, "t string")
+
+
+def _even(spark: SparkSession, n: int) -> Column:
+    """An array of n numbers that hash partitioning puts into n different partitions."""
+    spread = spark.range(0, 30 * n + 200).withColumn("p", F.expr(f"pmod(hash(cast(id AS int)), {n})"))
+    found = [r["v"] for r in spread.groupBy("p").agg(F.min("id").alias("v")).collect()]  # n rows at most
+    return F.array(*(F.lit(v).cast("int") for v in sorted(found)))
+
+
+def with_perplexity(docs: DataFrame, m: Model, *, id_col: str = "doc_id", text_col: str = "text", into: str = "perplexity", drop_text: bool = False) -> DataFrame:
+    """``docs`` with a column of perplexities, null for null and empty texts.  Replaces a column of that name.
+
+    There are as many blocks as ``spark.sql.shuffle.partitions``.  Rows are dealt by id and text together, so that many
+    copies of a text or many rows without an id do not meet in one block; the rows of a block need not fit in memory."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = [c for c in docs.columns if c not in (into, text_col)]
+    numbers = _even(spark, n)
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.size(numbers))
+    rest = F.struct(F.lit(0).alias("-"), *(F.col(f"`{c}`") for c in kept))  # never empty
+    blocked = docs.select(F.element_at(numbers, (place + 1).cast("int")).alias("block"), rest.alias("d"), F.col(text_col).alias("t"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+        rows = ((own, z) for b in batches for own, z in zip(b.column("block").to_pylist(), b.column("z")))
+        for block, own in itertools.groupby(rows, key=lambda r: r[0]):
+            for windows, _ in _counted(_text(z, press) for _, z in own):
+                for low in range(0, len(windows), 100_000):
+                    some = _strings(windows[low : low + 100_000])
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int32()), some], names=["block", "gram"])
+
+    squeezed = _squeezed(blocked, "block", "d")
+    wanted = squeezed.select("block", "z").repartition(n, "block").sortWithinPartitions("block").mapInArrow(ask, "block int, gram string")
+    wanted = written(wanted, "asked")
+    grams = written(_resolved(m, wanted.select("gram").distinct()), "answers")
+    answers = wanted.join(grams, "gram").select("block", "gram", "log_p")
+
+    out = T.StructType([squeezed.schema["d"], T.StructField("t", T.StringType()), T.StructField("p", T.DoubleType())])
+    mean = m.mean
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(score, out)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, block, keys, logs, parts = zstandard.ZstdDecompressor(), None, None, None, []
+        for b in batches:
+            for low in range(0, b.num_rows, 1000):
+                some = b.slice(low, 1000)
+                of_block = some.column("block").to_numpy()
+                for own in dict.fromkeys(of_block.tolist()):
+                    rows = some.filter(pa.array(of_block == own))
+                    if own != block:
+                        block, parts, keys = own, [], None
+                    answer = rows.filter(rows.column("gram").is_valid())
+                    if answer.num_rows:
+                        windows = np.frombuffer("".join(answer.column("gram").to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, ORDER)
+                        parts.append((_keys(windows), answer.column("log_p").to_numpy()))
+                    rows = rows.filter(rows.column("gram").is_null())
+                    if not rows.num_rows:
+                        continue
+                    if keys is None:
+                        keys, logs = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0))
+                        order = np.argsort(keys)
+                        keys, logs, parts = keys[order], logs[order], []
+                    texts = [_text(z, press) for z in rows.column("z")]
+                    values = []
+                    for piece in _pieces(iter(texts)):
+                        _, k, size = _grams(piece)
+                        sums = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(keys, k)])]) if len(k) else np.zeros(1)
+                        ends = np.cumsum(size)
+                        total = sums[ends] - sums[ends - size]
+                        values += [float(v) if c else None for v, c in zip(np.exp(-(total + PRIOR * mean) / (size + PRIOR)), size)]
+                    t = pa.nulls(len(texts), pa.string()) if drop_text else pa.array([x if z.is_valid else None for x, z in zip(texts, rows.column("z"))], pa.string())
+                    yield pa.RecordBatch.from_arrays([rows.column("d"), t, pa.array(values, pa.float64())], names=["d", "t", "p"])
+
+    first = answers.select("block", "gram", "log_p", F.lit(None).cast(squeezed.schema["d"].dataType).alias("d"), F.lit(None).cast("binary").alias("z"))
+    then = squeezed.select("block", F.lit(None).cast("string").alias("gram"), F.lit(None).cast("double").alias("log_p"), "d", "z")
+    dealt = first.unionByName(then).repartition(n, "block").sortWithinPartitions("block", F.col("gram").isNull())
+    scored = written(dealt.mapInArrow(score, out), "scored")
+    discard(wanted)
+    discard(grams)
+    columns = [F.col("t").alias(c) if c == text_col else F.col(f"d.`{c}`").alias(c) for c in docs.columns if c != into and not (drop_text and c == text_col)]
+    return scored.select(*columns, F.col("p").alias(into))
 
 
 def thresholds(scored: DataFrame, *, quantile: float, margin: float, least: int) -> DataFrame:
@@ -174,26 +303,33 @@ def thresholds(scored: DataFrame, *, quantile: float, margin: float, least: int)
     return every.where((F.col("g") == 1) | (F.col("n") >= least)).select(F.when(F.col("g") == 1, "*").otherwise(F.col("language")).alias("language"), (F.col("q") * margin).alias("threshold"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality", train_rows=None, quantile: float = 0.99, margin: float = 1.15, least: int = 30) -> DataFrame:
-    """``docs`` with ``perplexity``, ``threshold`` and ``good``.
+def calibrates(doc_id: Column) -> Column:
+    """Whether a trusted document sets thresholds, and the model is trained without it."""
+    return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(10)) == 0
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality", train_rows=None, quantile: float = 0.99, margin: float = 1.1, least: int = 30, into: tuple[str, str, str] = ("perplexity", "threshold", "good"), drop_text: bool = False) -> DataFrame:
+    """``docs`` with a perplexity, the threshold that it is held against and whether the document is good.
 
     Trusted are the documents that ``labels`` calls good (label 1; ``train_rows``, a condition on the id, can hold some
     out).  Ids that are null or labelled both ways are not trusted.  Null and empty texts have no perplexity and are not
-    good; without any trusted text every other document is good.  Repeated rows are judged each by itself.  Columns of
-    ``docs`` that have the names of the new ones are replaced; all others stay.
+    good; without any trusted text to set thresholds every other document is good.  Repeated rows are judged each by itself.  Columns of
+    ``docs`` that have the names of the new ones (``into``) are replaced; all others stay.
     """
     rows = labels.select(F.col(id_col).alias("id"), F.col(quality_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     trusted = rows.groupBy("id").agg(F.min("y").alias("y")).where("y = 1").select("id")
     if train_rows is not None:
         trusted = trusted.where(train_rows(F.col("id")))
-    fitted = train(docs, trusted, id_col=id_col, text_col=text_col)
-    lean = with_perplexity(docs.select(F.col(id_col).alias("id"), language(lang_col).alias("language"), F.col(text_col).alias("t")), fitted, text_col="t").select("id", "language", "perplexity")
-    limits = {r["language"]: r["threshold"] for r in thresholds(lean.join(trusted, "id", "left_semi"), quantile=quantile, margin=margin, least=least).collect()}
+    perplexity, threshold, verdict = into
+    fitted = train(docs, trusted.where(~calibrates(F.col("id"))), id_col=id_col, text_col=text_col)
+    scored = with_perplexity(docs.drop(threshold, verdict), fitted, id_col=id_col, text_col=text_col, into=perplexity, drop_text=drop_text)
+    fitted.drop()
+    lean = scored.select(F.col(id_col).alias("id"), language(lang_col).alias("language"), F.col(perplexity).alias("perplexity"))
+    limits = {r["language"]: r["threshold"] for r in thresholds(lean.join(trusted.where(calibrates(F.col("id"))), "id", "left_semi"), quantile=quantile, margin=margin, least=least).collect()}
     general = limits.pop("*", None)
     limit = F.lit(general).cast("double")
     if limits:  # at most 18,253 languages
         chosen = F.create_map(*(F.lit(x) for pair in sorted(limits.items()) for x in pair))
         limit = F.coalesce(F.element_at(chosen, language(lang_col)), limit)
-    scored = with_perplexity(docs.drop("threshold", "good"), fitted, text_col=text_col)
-    good = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return scored.withColumn("threshold", limit).withColumn("good", good)
+    good = F.col(perplexity).isNotNull() & F.coalesce(F.col(perplexity) <= F.col(threshold), F.lit(True))
+    return scored.withColumn(threshold, limit).withColumn(verdict, good)

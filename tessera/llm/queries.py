@@ -58,7 +58,7 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its perplexity under the model of the trusted texts outside the held-out third of ids."""
-    judged = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train_rows=train_rows)
+    judged = classify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"), train_rows=train_rows, drop_text=True)
     return judged.select("doc_id", "lang", (~F.coalesce(train_rows(F.col("doc_id")), F.lit(True))).alias("held_out"), "perplexity", "threshold", "good")
 
 

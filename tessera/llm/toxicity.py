@@ -8,7 +8,8 @@ sum of weights is normalised by the length of the text.
 
 The lexicon is learnt from labelled rows: words and beginnings of words, with or without their accents, that occur at
 different rates in the labels' texts, every repetition counted; weights are log ratios of those rates.  Fitting reads
-at most ``SAMPLE`` labelled documents, those with the smallest hashes of their ids; the bound is a parameter.
+at most ``SAMPLE`` labelled texts, those with the smallest hashes of their ids; the bound is a parameter.  Executors
+count entries and measure densities; the driver gets the counts of frequent entries and a few numbers per text.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import discard, text_of, written
 
 SAMPLE = 20_000
 #: Letters of other scripts and full-width forms that look like Latin ones.
@@ -44,13 +45,28 @@ EXCEPTIONS = tuple(
 )
 _WORD = re.compile(r"\S+")
 _LETTER = re.compile(r"[^\W\d_]")
-_EDGE = re.compile(r"^[^\w@$€]+|[^\w$€]+$")
+_BEGIN = re.compile(r"[\w@$€]")
+
+
+def _inside(word: str) -> str:
+    """A word without the signs at its ends, in one look at each."""
+    begin, end = _BEGIN.search(word), len(word)
+    if not begin:
+        return ""
+    while not (word[end - 1].isalnum() or word[end - 1] in "_$€"):
+        end -= 1
+        if end <= begin.start():
+            return ""
+    return word[begin.start() : end]
 
 
-@functools.lru_cache(maxsize=200_000)
 def fold_forms(word: str) -> tuple[str, str]:
     """A word in plain small letters, and the same with its accents.  Words without a letter are kept as they are, without signs."""
-    word = _EDGE.sub("", unicodedata.normalize("NFKD", word.casefold()))
+    return _known_forms(word) if len(word) < 64 else _forms(word)
+
+
+def _forms(word: str) -> tuple[str, str]:
+    word = _inside(unicodedata.normalize("NFKD", word.casefold()))
     if not _LETTER.search(word):
         return (re.sub(r"\W", "", word),) * 2
     out, accented = [], []
@@ -65,6 +81,9 @@ def fold_forms(word: str) -> tuple[str, str]:
     return "".join(out), unicodedata.normalize("NFC", "".join(accented))
 
 
+_known_forms = functools.lru_cache(maxsize=200_000)(_forms)
+
+
 def fold_word(word: str) -> str:
     return fold_forms(word)[0]
 
@@ -169,70 +188,134 @@ def _limit(clean: list[float], toxic: list[float]) -> tuple[float, float, float]
 CUTS = (5.0, 4.5, 4.0, 3.5, 3.0, 2.5, 2.0, 1.5, 1.0)
 
 
-def learn(labelled: list[tuple[str, int]], *, least: int = 5, share: float = 0.015, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """A lexicon from (text, label) pairs.
-
-    An entry needs ``least`` different texts of label 1, and a ``share`` of them.  Its weight is the log ratio of what one
-    text of either label has of it in the mean, each occurrence divided by the root of the text's length as in the
-    score, so that a stem counts which other texts have once and these repeat.  A longer entry stays beside its
-    beginning, and an accented one beside its plain form, only if it weighs 0.5 more.  The entries are grouped by least
-    weight; the group and the limit on densities are those that make the fewest errors on the labels, and the scale
-    puts a score of 0.7 between the two texts that the limit parts.
-    """
-    labelled = sorted({(t or "", int(y)) for t, y in labelled})
-    texts = [(fold_both(t), y) for t, y in labelled]
-    n1 = sum(y for _, y in texts)
-    n0 = len(texts) - n1
-    if not n1 or not n0:
-        return Lexicon(exceptions=exceptions)
-    held, rates = Counter(), (Counter(), Counter())
-    for forms, y in texts:
-        if y:
-            held.update(_entries(*forms).keys())
-    held = {entry for entry, k in held.items() if k >= max(least, share * n1)}
-    for forms, y in texts:
+class Counts:
+    """How many different texts of label 1 have an entry, and by label how much of it all texts have together: each
+    occurrence divided by the root of the text's length, as in the score."""
+
+    def __init__(self):
+        self.held, self.rates = Counter(), (Counter(), Counter())
+
+    def add(self, forms: tuple[str, str], y: int) -> None:
         size = math.sqrt(forms[0].count(" "))
         for entry, k in _entries(*forms).items():
-            if entry in held:
-                rates[y][entry] += k / size
-    half = 0.5 / math.sqrt(sorted(forms[0].count(" ") for forms, _ in texts)[len(texts) // 2])  # half an occurrence in a middling text
+            self.held[entry] += y
+            self.rates[y][entry] += k / size
+
+
+def weights_of(held: dict[str, int], rates: tuple[dict, dict], n0: int, n1: int, middle_length: float) -> dict[str, float]:
+    """Weights of entries: log ratios of what one text of either label has of them in the mean, so that a stem counts which
+    other texts have once and these repeat.  A longer entry stays beside its beginning, and an accented one beside its
+    plain form, only if it weighs 0.5 more."""
+    half = 0.5 / math.sqrt(middle_length)  # half an occurrence in a middling text
     weights = {}
     for entry in sorted(held, key=lambda e: (len(e), fold(e).strip() != e.strip(), e)):
-        w = math.log((rates[1][entry] + half) / (n1 + 1)) - math.log((rates[0][entry] + half) / (n0 + 1))
+        w = math.log((rates[1].get(entry, 0) + half) / (n1 + 1)) - math.log((rates[0].get(entry, 0) + half) / (n0 + 1))
         plain = " " + fold(entry).strip()
         stems = [x for n in range(5, len(entry) + 1) for x in (entry[:n], plain[:n]) if x != entry] + [plain + " "] * (entry[-1] == " " and plain != entry[:-1])
         if w >= CUTS[-1] and all(w >= weights.get(x, 0.0) + 0.5 for x in stems):
             weights[entry] = w
-    lexicon = Lexicon(weights, exceptions)
-    automaton = lexicon.automaton()
-    found = [(lexicon.found(automaton, t), y) for t, y in labelled]
+    return weights
+
+
+def densities(lexicon: Lexicon, automaton, text: str) -> list[float]:
+    """A text's density by the entries that reach each of CUTS."""
+    found = lexicon.found(automaton, text)
+    return [lexicon._sum(found, cut) for cut in CUTS]
+
+
+def limited(lexicon: Lexicon, rows: list[tuple[int, list[float]]]) -> Lexicon:
+    """Leaves the group of entries, and sets the limit, that make the fewest errors on (label, densities); the scale puts a
+    score of 0.7 between the two texts that the limit parts."""
     tried = []
-    for cut in CUTS:
-        clean, toxic = ([lexicon._sum(f, cut) for f, y in found if y == label] for label in (0, 1))
+    for k, cut in enumerate(CUTS):
+        clean, toxic = ([d[k] for y, d in rows if y == label] for label in (0, 1))
         tried.append((*_limit(clean, toxic), cut))
     _, low, high, cut = min(tried, key=lambda x: x[0])  # the fewest entries of equals
-    lexicon.weights = {entry: w for entry, w in weights.items() if w >= cut}
-    lexicon.slope = 8 / max(high - low, 0.2)
-    lexicon.middle = (low + high) / 2 - math.log(0.7 / 0.3) / lexicon.slope
-    return lexicon
+    slope = 8 / max(high - low, 0.2)
+    return Lexicon({e: w for e, w in lexicon.weights.items() if w >= cut}, lexicon.exceptions, slope, (low + high) / 2 - math.log(0.7 / 0.3) / slope)
+
+
+def learn(labelled: list[tuple[str, int]], *, least: int = 5, share: float = 0.015, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """A lexicon from (text, label) pairs; :func:`fit` does the same for tables.
+
+    An entry needs ``least`` different texts of label 1, and a ``share`` of them."""
+    labelled = sorted({(t or "", int(y)) for t, y in labelled})
+    counts, lengths = Counts(), []
+    for t, y in labelled:
+        forms = fold_both(t)
+        counts.add(forms, y)
+        lengths.append(forms[0].count(" "))
+    n1 = sum(y for _, y in labelled)
+    n0 = len(labelled) - n1
+    if not n1 or not n0:
+        return Lexicon(exceptions=exceptions)
+    held = {entry: k for entry, k in counts.held.items() if k >= max(least, share * n1)}
+    lexicon = Lexicon(weights_of(held, counts.rates, n0, n1, sorted(lengths)[len(lengths) // 2]), exceptions)
+    automaton = lexicon.automaton()
+    return limited(lexicon, [(y, densities(lexicon, automaton, t)) for t, y in labelled])
 
 
 def held_out(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, train=None, **options) -> Lexicon:
-    """Learns from at most ``sample`` labelled rows, those with the smallest hashes of their ids.
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, train=None, least: int = 5, share: float = 0.015, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """Learns from at most ``sample`` labelled texts, those with the smallest hashes of their ids.
 
-    ``train``: a condition on ``id_col`` that rows must meet; null ids and labels are left out.
+    ``train``: a condition on ``id_col`` that rows must meet; null ids and labels are left out, and equal texts of one
+    label count once.  The driver gets the entries that reach ``share``, at most (entries of a text) / share of them.
     """
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     if train is not None:
         rows = rows.where(train(F.col("id")))
     chosen = rows.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    # at most ``sample`` ids are broadcast, and as many texts come back
-    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).join(F.broadcast(chosen), "id")
-    return learn([(r["t"], r["y"]) for r in texts.select("t", "y").toLocalIterator()], **options)
+    every = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
+    # at most ``sample`` ids, then at most as many texts, whatever repeats
+    lean = every.select("id", "h").join(F.broadcast(chosen), "id").groupBy("h", "y").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id"), "id", "h", "y").limit(sample)
+    texts = written(every.join(F.broadcast(lean), ["id", "h"]).dropDuplicates(["h", "y"]).select("t", "y"), "labelled")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, lengths = Counts(), [Counter(), Counter()]
+        for b in batches:
+            for t, y in zip(b.column("t"), b.column("y").to_pylist()):
+                forms = fold_both(t.as_py())
+                counts.add(forms, y)
+                lengths[y][forms[0].count(" ")] += 1
+        entries = list(counts.held)
+        for low in range(0, len(entries), 50_000):
+            some = entries[low : low + 50_000]
+            columns = some, [None] * len(some), [counts.held[e] for e in some], [counts.rates[0][e] for e in some], [counts.rates[1][e] for e in some]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        # lengths: how many texts of either label have so many blanks
+        sizes = sorted(lengths[0].keys() | lengths[1].keys())
+        columns = [None] * len(sizes), sizes, [0] * len(sizes), [float(lengths[0][n]) for n in sizes], [float(lengths[1][n]) for n in sizes]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    names, kinds = ["entry", "length", "held", "rate0", "rate1"], (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    sums = written(texts.mapInArrow(counted, "entry string, length long, held long, rate0 double, rate1 double").groupBy("entry", "length").agg(*(F.sum(c).alias(c) for c in names[2:])), "counts")
+    lengths = sorted((r["length"], r["rate0"], r["rate1"]) for r in sums.where("entry IS NULL").collect())  # at most ``sample`` rows
+    n0, n1 = (int(sum(r[k] for r in lengths)) for k in (1, 2))
+    if not n0 or not n1:
+        return Lexicon(exceptions=exceptions)
+    seen, middle = 0, 1
+    for middle, a, b in lengths:
+        seen += a + b
+        if seen > (n0 + n1) // 2:
+            break
+    frequent = sums.where((F.col("entry").isNotNull()) & (F.col("held") >= max(least, share * n1))).collect()
+    held = {r["entry"]: r["held"] for r in frequent}
+    rates = {r["entry"]: r["rate0"] for r in frequent}, {r["entry"]: r["rate1"] for r in frequent}
+    lexicon = Lexicon(weights_of(held, rates, n0, n1, middle), exceptions)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([densities(lexicon, automaton, t.as_py()) for t in b.column("t")], pa.list_(pa.float64()))], names=["y", "d"])
+
+    out = limited(lexicon, [(r["y"], r["d"]) for r in texts.mapInArrow(measured, "y int, d array<double>").collect()])  # at most ``sample`` rows
+    discard(texts)
+    discard(sums)
+    return out
 
 
 def apply(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", score_col: str = "score") -> DataFrame:

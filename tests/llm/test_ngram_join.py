@@ -78,8 +78,8 @@ def test_split_tiles_equal_brute_force(spark, monkeypatch):
             words[rng.randrange(40)] = f"x{rng.randrange(6)}"
         rows.append((i, " ".join(words[: rng.randint(25, 40)])))
     docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
-    members, links = nj.join(docs, id_col="id", part=4)
-    found = {r.node: r.label for r in components(links).collect()}
+    members, labels = nj.join(docs, id_col="id", part=4)
+    found = {r.node: r.label for r in labels.collect()}
     own = [(r.id, r.n, r.node) for r in members.collect()]
     least = {}
     for i, _, node in own:

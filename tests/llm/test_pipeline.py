@@ -1,12 +1,15 @@
+import math
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tessera.llm import bpe_tree, ngram_join, quality, tokens, toxicity
 from tests.llm.test_ngram_join import plain_set
 from tests.llm.test_pii import brute
+from tests.llm.test_quality import slow_perplexity
 
 
 def corpus():
@@ -44,19 +47,17 @@ def run(spark, tmp_path_factory):
     return where, labels, states
 
 
-def test_stages_equal_plain_versions(run):
+def test_stages_equal_plain_versions(run, spark):
     where, labels, (docs, good, clean, single, redacted, packed) = run
     by = {i: (q, t) for i, q, t in labels}
     # quality: the model of the trusted texts, thresholds from their own perplexities
-    import numpy as np
-    from collections import Counter
-
     trusted = [d for d in docs if d[0] in by and by[d[0]][0] == 1 and not toxicity.held_out(d[0])]
-    counts = Counter(k for d in trusted for k in quality.grams(d[1]).tolist())
-    model = quality.model(np.array(list(counts)), np.array(list(counts.values())))
-    scores = sorted(quality.perplexity(model, d[1]) for d in trusted)
-    limit = scores[int(np.ceil(0.99 * len(scores))) - 1] * 1.15
-    assert good == sorted(d for d in docs if quality.perplexity(model, d[1]) <= limit)
+    ids = spark.createDataFrame([(d[0],) for d in trusted], "i long")
+    apart = {r.i for r in ids.where(quality.calibrates(F.col("i"))).collect()}
+    perplexity = slow_perplexity([d[1] for d in trusted if d[0] not in apart])
+    scores = sorted(perplexity(d[1]) for d in trusted if d[0] in apart)
+    limit = scores[math.ceil(0.99 * len(scores)) - 1] * 1.1
+    assert good == sorted(d for d in docs if perplexity(d[1]) <= limit)
     assert sum(1 for d in good if d[0] in by and not by[d[0]][0]) == 0
     assert sum(1 for d in good if d[0] in by) >= 0.99 * sum(q for q, _ in by.values())
     # toxicity

@@ -109,3 +109,28 @@ def test_no_rows(spark):
     assert tx.toxicity(docs, labels).count() == 0
     some = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert [r.predicted for r in tx.toxicity(some, labels).collect()] == [0]
+
+
+def test_long_words_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for word in ("a" + "!" * 1_000_000 + "x", "!" * 1_000_000, "!" * 500_000 + "moron" + "." * 500_000):
+        tx.fold_both(word)
+    assert time.perf_counter() - began < 10
+
+
+def test_fit_equals_learn(spark):
+    """Counting on executors gives the lexicon that counting in one place gives."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(200)]
+    rows = []
+    for i in range(400):
+        text = [rng.choice(words) for _ in range(rng.randint(5, 60))] + ["scümbag", "m0ron"][: 2 * (i % 8 == 0)] * 3
+        rng.shuffle(text)
+        rows.append((i, " ".join(text) if i % 50 else None, i % 8 == 0))
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(3, rows[3][1])] * 5, "doc_id long, text string").repartition(4)
+    marks = spark.createDataFrame([(i, int(y)) for i, _, y in rows] + [(None, 1)], "doc_id long, toxic int")
+    a, b = tx.fit(docs, marks), tx.learn([(t, y) for _, t, y in rows])
+    assert a.weights.keys() == b.weights.keys() and all(abs(a.weights[e] - b.weights[e]) < 1e-9 for e in b.weights)
+    assert abs(a.slope - b.slope) < 1e-6 and abs(a.middle - b.middle) < 1e-6
