@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import discard, fresh, table, written
 from tessera.llm.ngram_join import first_of_each
 from tessera.llm.packing import pack
 from tessera.llm.pii import redact
@@ -18,13 +18,14 @@ TOXIC = 0.7
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose perplexity is within their language's threshold."""
-    return classify(docs, table(spark, sf_dir, "labels"), train_rows=train_rows).where("good").select(*docs.columns)
+    into = tuple(fresh(docs, c) for c in ("perplexity", "threshold", "good"))
+    return classify(docs, table(spark, sf_dir, "labels"), train_rows=train_rows, into=into).where(F.col(into[2])).select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose toxicity stays below TOXIC."""
-    lexicon = fit(docs, table(spark, sf_dir, "labels"), train=train_rows)
-    return apply(docs, lexicon).where(F.col("score") < TOXIC).select(*docs.columns)
+    lexicon, score = fit(docs, table(spark, sf_dir, "labels"), train=train_rows), fresh(docs, "score")
+    return apply(docs, lexicon, score_col=score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +49,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written and read again."""
+    """All stages over ``documents``, each result written and read again; a stage's input goes when its result is there.
+
+    Null and empty texts go with the first stage, as they have no perplexity.  Very long texts pass whole, repeated rows
+    are one document from the third stage on, an empty table gives an empty result, and further columns stay as they are
+    up to the last stage, whatever their names."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for number, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if number:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
