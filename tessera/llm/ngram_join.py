@@ -43,8 +43,8 @@ BLOCK = 1 << 22
 PART = 50_000
 #: Tiles of up to so many rows are worked at many at a time, all pairs of each; larger ones by themselves.
 NEAR = 16
-#: Bits of the longest bitmap; those of larger sets are folded to it.
-MOST_BITS = 1 << 13
+#: Bits of the shortest bitmap and of the longest; larger sets are folded to that.
+LEAST_BITS, MOST_BITS = 1 << 10, 1 << 13
 #: Bits of the filter of nodes that need their sets; its size does not depend on the corpus.
 FILTER_BITS = 26
 _MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -126,8 +126,8 @@ def reach(n: int, percent: int) -> int:
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    """Hashed bits of a set, at least two per shingle, at most MOST_BITS."""
-    bits = np.zeros(min(MOST_BITS, max(64, 2 << int(len(values) - 1).bit_length())), np.uint8)
+    """Hashed bits of a set: LEAST_BITS, or two and more per shingle of a larger set, but at most MOST_BITS."""
+    bits = np.zeros(min(MOST_BITS, max(LEAST_BITS, 2 << int(len(values) - 1).bit_length())), np.uint8)
     bits[(values % np.uint64(len(bits))).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little")
 
