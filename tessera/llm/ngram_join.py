@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, fresh, text_of, written
+from .common import discard, fresh, text_of, trim, written
 from .components import components
 
 WORDS, PERCENT = 5, 75
 #: A shingle is common from so many documents; at most MOST_COMMON of them are told apart, by their counts.
 COMMON, MOST_COMMON = 24, 1 << 20
 #: Shingles counted at a time within a task; those seen three times in a block take part in the counts.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: A tile of about so many rows is one part; those of more common shingles are split.
 PART = 50_000
 #: Tiles of up to so many rows are worked at many at a time, all pairs of each; larger ones by themselves.
@@ -182,6 +182,8 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
                 held, size, seen = [], 0, set()
         if held:
             yield counted()
+        del held, seen
+        trim()
 
     counts = texts.mapInArrow(blocks, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
     got = counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).toArrow()

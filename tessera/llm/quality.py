@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, text_of, written
+from .common import discard, text_of, trim, written
 
 ORDER = 5
 #: Stands in front of a text; it and the null character count as blanks inside one.
@@ -33,7 +33,7 @@ PRIOR = 50
 #: What no history knows is spread over all code points.
 CODE_POINTS = 0x110000
 #: Characters looked at a time, and different n-grams held before they are handed on.
-SPAN, HELD = 1 << 21, 1 << 21
+SPAN, HELD = 1 << 20, 1 << 20
 _BASE = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -44,24 +44,47 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(clean).encode("utf-32-le", "replace"), "<u4"), np.cumsum([len(t) for t in clean])
 
 
-def _keys(windows: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(windows), np.uint64)
+def _keys(points: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams that begin at each place but the last ones."""
+    n = max(0, len(points) - ORDER + 1)
+    out, wide = np.zeros(n, np.uint64), points.astype(np.uint64) + np.uint64(1)
     for k in range(ORDER):
-        out = (out + windows[:, k] + np.uint64(1)) * _BASE
+        out += wide[k : k + n]
+        out *= _BASE
         out ^= out >> np.uint64(29)
     return out
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """N-grams (rows of code points) that end at each character, their keys, and the number of them in each text."""
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the n-grams that end at each character, and the number of them in each text."""
     points, ends = _points(texts)
-    starts = np.concatenate([[0], ends[:-1]])
-    n = ends - starts - (ORDER - 1)
-    if not n.sum():
-        return np.zeros((0, ORDER), np.uint32), np.zeros(0, np.uint64), n
-    first = np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    windows = np.lib.stride_tricks.sliding_window_view(points, ORDER)[first]
-    return windows, _keys(windows), n
+    n = ends - np.concatenate([[0], ends[:-1]]) - (ORDER - 1)
+    return _keys(points)[points[ORDER - 1 :] != ord(BOUNDARY)], n
+
+
+class _Alphabet:
+    """Numbers of 12 bits for the characters met so far, so that an n-gram is one 64-bit number that can be read back."""
+
+    def __init__(self):
+        self.code = np.zeros(CODE_POINTS, np.uint16)
+        self.letters = np.zeros(1, np.uint32)
+        self.add(np.array([ord(BOUNDARY)], np.uint32))
+
+    def add(self, new: np.ndarray) -> None:
+        self.code[new] = np.arange(len(self.letters), len(self.letters) + len(new))
+        self.letters = np.concatenate([self.letters, new])
+
+    def codes(self, points: np.ndarray) -> np.ndarray | None:
+        """The numbers of code points; None if there is no room for new ones."""
+        new = np.unique(points[self.code[points] == 0])
+        if len(self.letters) + len(new) > 1 << 12:
+            return None
+        self.add(new)
+        return self.code[points].astype(np.uint64)
+
+    def windows(self, keys: np.ndarray) -> np.ndarray:
+        shifts = np.arange(12 * (ORDER - 1), -1, -12, dtype=np.uint64)
+        return self.letters[(keys[:, None] >> shifts & np.uint64(0xFFF)).astype(np.int64)]
 
 
 def _pieces(texts: Iterator[str]) -> Iterator[list[str]]:
@@ -77,20 +100,47 @@ def _pieces(texts: Iterator[str]) -> Iterator[list[str]]:
         yield held
 
 
+def _runs(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, in order, and how often they occur."""
+    if counts is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.diff(at, append=len(keys)) if counts is None else np.add.reduceat(counts, at) if len(at) else counts
+
+
 def _counted(texts: Iterator[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Different n-grams and their counts, added up over as many texts as HELD different n-grams allow."""
-    windows, keys, counts = np.zeros((0, ORDER), np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    """Different n-grams (rows of code points) that end at each character and their counts, added up over as many texts as
+    HELD different n-grams allow."""
+    alphabet, keys, counts = _Alphabet(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for piece in _pieces(texts):
-        w, k, _ = _grams(piece)
-        k, at, n = np.unique(k, return_index=True, return_counts=True)
-        windows, keys, counts = np.concatenate([windows, w[at]]), np.concatenate([keys, k]), np.concatenate([counts, n])
-        keys, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        windows, counts = windows[at], np.bincount(back, counts).astype(np.int64)
+        points, _ = _points(piece)
+        codes = alphabet.codes(points)
+        if codes is None:  # room for new letters
+            if len(keys):
+                yield alphabet.windows(keys), counts
+            alphabet, keys, counts = _Alphabet(), keys[:0], counts[:0]
+            codes = alphabet.codes(points)
+        if codes is None:  # a piece with more letters than there are numbers
+            ends = np.flatnonzero(points[ORDER - 1 :] != ord(BOUNDARY))
+            windows = np.lib.stride_tricks.sliding_window_view(points, ORDER)[ends]
+            windows, n = np.unique(windows, axis=0, return_counts=True)
+            yield windows, n
+            continue
+        n = max(0, len(codes) - ORDER + 1)
+        made = np.zeros(n, np.uint64)
+        for k in range(ORDER):
+            made <<= np.uint64(12)
+            made |= codes[k : k + n]
+        new, of_new = _runs(made[codes[ORDER - 1 :] != 1])
+        keys, counts = _runs(np.concatenate([keys, new]), np.concatenate([counts, of_new]))
         if len(keys) > HELD:
-            yield windows, counts
-            windows, keys, counts = windows[:0], keys[:0], counts[:0]
+            yield alphabet.windows(keys), counts
+            keys, counts = keys[:0], counts[:0]
     if len(keys):
-        yield windows, counts
+        yield alphabet.windows(keys), counts
 
 
 def _strings(windows: np.ndarray) -> pa.Array:
@@ -113,6 +163,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
         for windows, counts in _counted(t.as_py() for b in batches for t in b.column("t")):
             for low in range(0, len(counts), 100_000):
                 yield pa.RecordBatch.from_arrays([_strings(windows[low : low + 100_000]), pa.array(counts[low : low + 100_000])], names=["gram", "n"])
+        trim()
 
     return texts.mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -242,6 +293,7 @@ def with_perplexity(docs: DataFrame, m: Model, *, id_col: str = "doc_id", text_c
                 for low in range(0, len(windows), 100_000):
                     some = _strings(windows[low : low + 100_000])
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int32()), some], names=["block", "gram"])
+        trim()
 
     squeezed = _squeezed(blocked, "block", "d")
     wanted = squeezed.select("block", "z").repartition(n, "block").sortWithinPartitions("block").mapInArrow(ask, "block int, gram string")
@@ -264,8 +316,8 @@ def with_perplexity(docs: DataFrame, m: Model, *, id_col: str = "doc_id", text_c
                         block, parts, keys = own, [], None
                     answer = rows.filter(rows.column("gram").is_valid())
                     if answer.num_rows:
-                        windows = np.frombuffer("".join(answer.column("gram").to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, ORDER)
-                        parts.append((_keys(windows), answer.column("log_p").to_numpy()))
+                        points = np.frombuffer("".join(answer.column("gram").to_pylist()).encode("utf-32-le"), "<u4")
+                        parts.append((_keys(points)[::ORDER], answer.column("log_p").to_numpy()))
                     rows = rows.filter(rows.column("gram").is_null())
                     if not rows.num_rows:
                         continue
@@ -276,13 +328,15 @@ def with_perplexity(docs: DataFrame, m: Model, *, id_col: str = "doc_id", text_c
                     texts = [_text(z, press) for z in rows.column("z")]
                     values = []
                     for piece in _pieces(iter(texts)):
-                        _, k, size = _grams(piece)
+                        k, size = _grams(piece)
                         sums = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(keys, k)])]) if len(k) else np.zeros(1)
                         ends = np.cumsum(size)
                         total = sums[ends] - sums[ends - size]
                         values += [float(v) if c else None for v, c in zip(np.exp(-(total + PRIOR * mean) / (size + PRIOR)), size)]
                     t = pa.nulls(len(texts), pa.string()) if drop_text else pa.array([x if z.is_valid else None for x, z in zip(texts, rows.column("z"))], pa.string())
                     yield pa.RecordBatch.from_arrays([rows.column("d"), t, pa.array(values, pa.float64())], names=["d", "t", "p"])
+        keys = logs = parts = None
+        trim()
 
     first = answers.select("block", "gram", "log_p", F.lit(None).cast(squeezed.schema["d"].dataType).alias("d"), F.lit(None).cast("binary").alias("z"))
     then = squeezed.select("block", F.lit(None).cast("string").alias("gram"), F.lit(None).cast("double").alias("log_p"), "d", "z")

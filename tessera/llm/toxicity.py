@@ -15,6 +15,7 @@ count entries and measure densities; the driver gets the counts of frequent entr
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 import unicodedata
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, text_of, written
+from .common import discard, text_of, trim, written
 
 SAMPLE = 20_000
 #: Letters of other scripts and full-width forms that look like Latin ones.
@@ -81,7 +82,7 @@ def _forms(word: str) -> tuple[str, str]:
     return "".join(out), unicodedata.normalize("NFC", "".join(accented))
 
 
-_known_forms = functools.lru_cache(maxsize=200_000)(_forms)
+_known_forms = functools.lru_cache(maxsize=30_000)(_forms)
 
 
 def fold_word(word: str) -> str:
@@ -150,7 +151,7 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * (self.density(automaton, text) - self.middle)))))
 
 
-@functools.lru_cache(maxsize=200_000)
+@functools.lru_cache(maxsize=10_000)
 def _word_entries(plain: str, accented: str) -> frozenset[str]:
     """What of a word may become an entry: the whole word, and beginnings of 4 to 7 letters of a longer one, in either form."""
     found = set()
@@ -276,20 +277,28 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, lengths = Counts(), [Counter(), Counter()]
+
+        def rows(*columns):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+        def entries():
+            for some in itertools.batched(list(counts.held), 50_000):
+                yield rows(some, [None] * len(some), *([c[e] for e in some] for c in (counts.held, *counts.rates)))
+
         for b in batches:
             for t, y in zip(b.column("t"), b.column("y").to_pylist()):
                 forms = fold_both(t.as_py())
                 counts.add(forms, y)
                 lengths[y][forms[0].count(" ")] += 1
-        entries = list(counts.held)
-        for low in range(0, len(entries), 50_000):
-            some = entries[low : low + 50_000]
-            columns = some, [None] * len(some), [counts.held[e] for e in some], [counts.rates[0][e] for e in some], [counts.rates[1][e] for e in some]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                if len(counts.held) > 200_000:
+                    yield from entries()
+                    counts = Counts()
+        yield from entries()
         # lengths: how many texts of either label have so many blanks
         sizes = sorted(lengths[0].keys() | lengths[1].keys())
-        columns = [None] * len(sizes), sizes, [0] * len(sizes), [float(lengths[0][n]) for n in sizes], [float(lengths[1][n]) for n in sizes]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        yield rows([None] * len(sizes), sizes, [0] * len(sizes), *([float(n[k]) for k in sizes] for n in lengths))
+        del counts, lengths
+        trim()
 
     names, kinds = ["entry", "length", "held", "rate0", "rate1"], (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
     sums = written(texts.mapInArrow(counted, "entry string, length long, held long, rate0 double, rate1 double").groupBy("entry", "length").agg(*(F.sum(c).alias(c) for c in names[2:])), "counts")

@@ -55,7 +55,8 @@ def words(rng, letters, n):
 def test_perplexities_equal_the_textbook(spark, monkeypatch):
     rng = random.Random(2)
     trusted = [words(rng, "abcdeжщ中文", 30) for _ in range(20)] + ["", trusted_once := "only once here"]
-    others = ["abc de", "Zx 12!", "", "中中中中中中", trusted_once * 2, words(rng, "abжz", 3000), "\U0001f600 a", "a"]
+    many = "".join(chr(0x4E00 + rng.randrange(6000)) for _ in range(9000))
+    others = [many, many[:300], "abc de", "Zx 12!", "", "中中中中中中", trusted_once * 2, words(rng, "abжz", 3000), "\U0001f600 a", "a"]
     docs = [(i, t) for i, t in enumerate([*trusted, *others, None])]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(q, "SPAN", 500)
