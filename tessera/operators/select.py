@@ -40,18 +40,22 @@ def sampled(df: DataFrame, n: int, *, key: str, seed: int = 1) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
-def spaced(df: DataFrame, *, distance: int, position: str = "lo", chrom: str = "chrom", order: Sequence[str], most: int) -> DataFrame:
+def spaced(df: DataFrame, *, distance: int, position: str = "lo", chrom: str = "chrom", order: Sequence[str], most: int, batch: int = 1000) -> DataFrame:
     """Greedy choice of at most ``most`` rows in a total order, none within ``distance`` of a chosen one on its chromosome.
 
-    Only the best rows of each stretch of ``distance`` can ever be chosen, so the driver sees few; ``most`` bounds the
-    answer, not the search."""
-    w = Window.partitionBy(chrom, F.floor(F.col(position) / distance)).orderBy(*order)
+    The driver sees ``batch`` rows at a time, the first of those that no chosen row rules out; as the very first of them is
+    always chosen, there are at most ``most`` steps.  Rows without a chromosome or position are never chosen."""
     chosen: list = []
-    for r in df.withColumn("__r", F.row_number().over(w)).where("__r <= 2").drop("__r").orderBy(*order).toLocalIterator():
-        if all(c[chrom] != r[chrom] or abs(c[position] - r[position]) > distance for c in chosen):
-            chosen.append(r)
-            if len(chosen) == most:
-                break
+    rest = df.where(F.col(chrom).isNotNull() & F.col(position).isNotNull())
+    while len(chosen) < most:
+        rows, before = rest.orderBy(*order).limit(batch).collect(), len(chosen)
+        for r in rows:
+            if len(chosen) < most and all(c[chrom] != r[chrom] or abs(c[position] - r[position]) > distance for c in chosen):
+                chosen.append(r)
+        if len(rows) < batch:
+            break
+        for c in chosen[before:]:
+            rest = rest.where((F.col(chrom) != F.lit(c[chrom])) | (F.abs(F.col(position) - F.lit(c[position])) > distance))
     return df.sparkSession.createDataFrame(chosen, df.schema)
 
 
