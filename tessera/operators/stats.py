@@ -68,15 +68,26 @@ def benjamini_hochberg(df: DataFrame, *, p: str = "p", into: str = "fdr", family
     """Adds adjusted p values over the non-null ``p`` of each family; null where ``p`` is.  ``size``: a family size that
     may exceed the number of values.
 
-    With equal p values the running minimum is the same whichever comes first."""
-    keys = list(family)
-    some = df.where(F.col(p).isNotNull() & ~F.isnan(p))
-    up = Window.partitionBy(*keys).orderBy(F.col(p), *order)
-    n = size if size is not None else F.count("*").over(Window.partitionBy(*keys))
-    raw = some.withColumn("__raw", F.col(p) * n / F.row_number().over(up))
-    down = Window.partitionBy(*keys).orderBy(F.col(p), *order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    done = raw.withColumn(into, F.least(F.min("__raw").over(down), F.lit(1.0))).drop("__raw")
-    return done.unionByName(df.where(F.col(p).isNull() | F.isnan(p)).withColumn(into, F.lit(None).cast("double")))
+    With equal p values the running minimum is the same whichever comes first.  Values are ordered within ranges of p;
+    how many stand in lower ranges, and the least of the higher ones, come from one row per family and range."""
+    x = F.col(p)
+    some = df.where(x.isNotNull() & ~F.isnan(x))
+    name = F.to_json(F.struct(*family), {"ignoreNullFields": "false"}) if family else F.lit("")
+    # 1024 ranges from 0 to 1, eight for each halving below the first of them
+    place = F.when(x <= 0, -20_000).when(x < 1 / 1024, F.floor(8 * F.log2(x))).otherwise(F.floor(1024 * x)).cast("int")
+    some, keys = some.withColumn("__f", name).withColumn("__b", place), ["__f", "__b"]
+    lower = Window.partitionBy("__f").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = some.groupBy(*keys).agg(F.count("*").alias("__k"))
+    sums = sums.select(*keys, F.coalesce(F.sum("__k").over(lower), F.lit(0)).alias("__below"), F.sum("__k").over(Window.partitionBy("__f")).alias("__n"))
+    own = Window.partitionBy(*keys).orderBy(x, *order)
+    n = size if size is not None else F.col("__n")
+    raw = some.join(sums, keys).withColumn("__raw", x * n / (F.col("__below") + F.row_number().over(own)))
+    higher = Window.partitionBy("__f").orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    least = raw.groupBy(*keys).agg(F.min("__raw").alias("__m")).select(*keys, F.min("__m").over(higher).alias("__above"))
+    down = Window.partitionBy(*keys).orderBy(x.desc(), "__raw").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    done = raw.withColumn("__least", F.min("__raw").over(down)).join(least, keys)
+    done = done.withColumn(into, F.least("__least", "__above", F.lit(1.0))).select(*df.columns, into)
+    return done.unionByName(df.where(x.isNull() | F.isnan(x)).withColumn(into, F.lit(None).cast("double")))
 
 
 def empirical(observed: Column, null: Column, *, upper: bool = True) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bases of a chromosome: as many more as there are more reads, so that what stands in one place does not grow with the tables.
-SPAN = "(SELECT 100000 * greatest(1, CAST(floor(count(*) / 1500.0) AS BIGINT)) FROM orders)"
+SPAN = "(SELECT 100000 * greatest(1, CAST(floor(count(*) / 6000.0) AS BIGINT)) FROM orders)"
 #: Projections of the supplied tables onto reads, elements, regions and so on, in SQL that both engines read alike.
 VIEWS: dict[str, str] = {
     "reads": f"SELECT o_orderkey AS read, o_custkey % 4 AS sample, o_orderkey % 5 AS chrom, (o_orderkey * 7919) % {SPAN} AS lo, (o_orderkey * 7919) % {SPAN} + 1000 + o_custkey % 3000 AS hi, CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE '+' END AS strand, o_custkey AS donor FROM orders",
