@@ -34,6 +34,8 @@ PRIOR = 50
 CODE_POINTS = 0x110000
 #: Characters looked at a time, and different n-grams held before they are handed on.
 SPAN, HELD = 1 << 20, 1 << 20
+#: Characters of a block, about, and how many blocks there are at most.  A block's n-grams are held, its texts are not.
+BLOCK_CHARS, MOST_BLOCKS = 1 << 26, 50_000
 _BASE = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -265,25 +267,17 @@ def _plain(rows: DataFrame) -> DataFrame:
     return rows.select("z").mapInArrow(loosen, "t string")
 
 
-def _even(spark: SparkSession, n: int) -> Column:
-    """An array of n numbers that hash partitioning puts into n different partitions."""
-    spread = spark.range(0, 30 * n + 200).withColumn("p", F.expr(f"pmod(hash(cast(id AS int)), {n})"))
-    found = [r["v"] for r in spread.groupBy("p").agg(F.min("id").alias("v")).collect()]  # n rows at most
-    return F.array(*(F.lit(v).cast("int") for v in sorted(found)))
-
-
 def with_perplexity(docs: DataFrame, m: Model, *, id_col: str = "doc_id", text_col: str = "text", into: str = "perplexity", drop_text: bool = False) -> DataFrame:
     """``docs`` with a column of perplexities, null for null and empty texts.  Replaces a column of that name.
 
-    There are as many blocks as ``spark.sql.shuffle.partitions``.  Rows are dealt by id and text together, so that many
+    A block has about BLOCK_CHARS characters, or more where there would be over MOST_BLOCKS of them.  Rows are dealt by id and text together, so that many
     copies of a text or many rows without an id do not meet in one block; the rows of a block need not fit in memory."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.length(F.col(text_col)).cast("long"))).first()[0] or 0
+    n = min(MOST_BLOCKS, 1 + size // BLOCK_CHARS)
     kept = [c for c in docs.columns if c not in (into, text_col)]
-    numbers = _even(spark, n)
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.size(numbers))
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(n)).cast("int")
     rest = F.struct(F.lit(0).alias("-"), *(F.col(f"`{c}`") for c in kept))  # never empty
-    blocked = docs.select(F.element_at(numbers, (place + 1).cast("int")).alias("block"), rest.alias("d"), F.col(text_col).alias("t"))
+    blocked = docs.select(place.alias("block"), rest.alias("d"), F.col(text_col).alias("t"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -296,7 +290,7 @@ def with_perplexity(docs: DataFrame, m: Model, *, id_col: str = "doc_id", text_c
         trim()
 
     squeezed = _squeezed(blocked, "block", "d")
-    wanted = squeezed.select("block", "z").repartition(n, "block").sortWithinPartitions("block").mapInArrow(ask, "block int, gram string")
+    wanted = squeezed.select("block", "z").repartitionById(n, "block").sortWithinPartitions("block").mapInArrow(ask, "block int, gram string")
     wanted = written(wanted, "asked")
     grams = written(_resolved(m, wanted.select("gram").distinct()), "answers")
     answers = wanted.join(grams, "gram").select("block", "gram", "log_p")
@@ -340,7 +334,7 @@ def with_perplexity(docs: DataFrame, m: Model, *, id_col: str = "doc_id", text_c
 
     first = answers.select("block", "gram", "log_p", F.lit(None).cast(squeezed.schema["d"].dataType).alias("d"), F.lit(None).cast("binary").alias("z"))
     then = squeezed.select("block", F.lit(None).cast("string").alias("gram"), F.lit(None).cast("double").alias("log_p"), "d", "z")
-    dealt = first.unionByName(then).repartition(n, "block").sortWithinPartitions("block", F.col("gram").isNull())
+    dealt = first.unionByName(then).repartitionById(n, "block").sortWithinPartitions("block", F.col("gram").isNull())
     scored = written(dealt.mapInArrow(score, out), "scored")
     discard(wanted)
     discard(grams)

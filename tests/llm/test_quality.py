@@ -61,6 +61,7 @@ def test_perplexities_equal_the_textbook(spark, monkeypatch):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(q, "SPAN", 500)
     monkeypatch.setattr(q, "HELD", 300)
+    monkeypatch.setattr(q, "BLOCK_CHARS", 9000)
     m = q.train(frame, spark.createDataFrame([(i,) for i in range(len(trusted))], "i long"))
     want = slow_perplexity(trusted)
     got = {r.doc_id: r.perplexity for r in q.with_perplexity(frame, m).collect()}
