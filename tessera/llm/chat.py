@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURN, TEXT, NEXT, END = "<|turn|>", "<|text|>", "<|next|>", "<|end|>"
@@ -36,34 +36,48 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, F.lit(UNESCAPE), F.lit("$1$2$3"))
 
 
+#: Turns merged at a time: appending to an array copies it, so a long conversation is merged part by part.
+CHUNK = 512
+
+
+def _merged(trained_role: str) -> Column:
+    """The sorted turns ``t`` (role, escaped role ``er``, escaped text ``et``) merged into ``parts`` and ``loss``.
+
+    The state of the aggregation is the last role, the code points so far, the parts and the spans.  Each chunk is
+    aggregated from the role and the place that the chunks before it left; then its parts and spans are appended."""
+
+    def state(role: Column, at: Column, parts: Column, loss: Column) -> Column:
+        return F.struct(role.alias("role"), at.alias("at"), parts.alias("parts"), loss.alias("loss"))
+
+    none = F.array().cast("array<string>"), F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def turn(a: Column, x: Column) -> Column:
+        opening = F.concat(F.when(a["role"].isNull(), "").otherwise(END), F.lit(TURN), x["er"], F.lit(TEXT))
+        lead = F.when(a["role"].eqNullSafe(x["role"]), NEXT).otherwise(opening)
+        start = a["at"] + F.length(lead)
+        end = start + F.length(x["et"])
+        span = F.array(F.struct(start.alias("start"), end.alias("end")))
+        return state(x["role"], end, F.concat(a["parts"], F.array(F.concat(lead, x["et"]))), F.when(x["role"] == trained_role, F.concat(a["loss"], span)).otherwise(a["loss"]))
+
+    def chunk(a: Column, first: Column) -> Column:
+        own = F.aggregate(F.slice("t", first, F.lit(CHUNK)), state(a["role"], a["at"], *none), turn)
+        return F.transform(F.array(own), lambda o: state(o["role"], o["at"], F.concat(a["parts"], o["parts"]), F.concat(a["loss"], o["loss"])))[0]
+
+    return F.aggregate(F.sequence(F.lit(1), F.size("t"), F.lit(CHUNK)), state(F.lit(None).cast("string"), F.lit(0).cast("long"), *none), chunk)
+
+
 def format_conversations(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", trained_role: str = "assistant") -> DataFrame:
     """One row per conversation: ``conv_id``, ``formatted``, ``loss`` (code-point spans of the trained role's texts).
 
-    Null roles and texts count as empty, null turns come first, rows with the same turn are ordered by role and text
-    and all stay, null ids form one conversation, and other columns are ignored.
+    A conversation's turns are collected as structs and sorted; adjacent ones of a role are merged by aggregating that
+    array.  Null roles and texts count as empty, null turns come first, rows with the same turn are ordered by role and
+    text and all stay, null ids form one conversation, and other columns are ignored.
     """
     rows = turns.select(F.col(conv_id).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    order = Window.partitionBy("conv").orderBy("turn", "role", "text")
-    first = F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True))
-    last = F.coalesce(F.lead("role").over(order) != F.col("role"), F.lit(True))
-    pieces = rows.select(
-        "conv",
-        F.row_number().over(order).alias("n"),
-        (F.col("role") == trained_role).alias("trained"),
-        F.when(first, F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))).otherwise(NEXT).alias("lead"),
-        escape(F.col("text")).alias("body"),
-        F.when(last, END).otherwise("").alias("tail"),
-    )
-    n = F.length("lead") + F.length("body") + F.length("tail")
-    along = Window.partitionBy("conv").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.withColumn("start", F.coalesce(F.sum(n).over(along), F.lit(0)) + F.length("lead"))
-    placed = placed.withColumn("end", F.col("start") + F.length("body"))
-    gathered = placed.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("n", "trained", "start", "end", "lead", "body", "tail"))).alias("t"))
-    return gathered.select(
-        F.col("conv").alias(conv_id),
-        F.array_join(F.transform("t", lambda t: F.concat(t["lead"], t["body"], t["tail"])), "").alias("formatted"),
-        F.transform(F.filter("t", lambda t: t["trained"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("loss"),
-    )
+    gathered = rows.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    escaped = gathered.select("conv", F.transform("t", lambda x: F.struct(x["role"].alias("role"), escape(x["role"]).alias("er"), escape(x["text"]).alias("et"))).alias("t"))
+    made = escaped.select("conv", _merged(trained_role).alias("m"))
+    return made.select(F.col("conv").alias(conv_id), F.concat(F.array_join("m.parts", ""), F.lit(END)).alias("formatted"), F.col("m.loss").alias("loss"))
 
 
 def read_turns(formatted: Column) -> Column:

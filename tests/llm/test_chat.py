@@ -37,6 +37,15 @@ def test_adjacent_turns_of_a_role_share_a_block(spark):
     assert [made[1].formatted[s.start : s.end] for s in made[1].loss] == ["a<\\\\|next|>b<\\|text|>", "", "é🙂"]
 
 
+def test_conversations_longer_than_a_chunk(spark):
+    rows = [(c, n, "user" if n % 7 < 3 else "assistant", f"{n}<|next|>") for c, size in ((1, chat.CHUNK), (2, chat.CHUNK + 1), (3, 3 * chat.CHUNK - 1)) for n in range(size)]
+    assert {r.conv_id: tuple(r)[1:5] for r in chat.conversation_digests(frame(spark, rows)).collect()} == expected(rows)
+    blocks = {r.conv_id: r.formatted.count(chat.TURN) for r in chat.format_conversations(frame(spark, rows)).collect()}
+    for c in (1, 2, 3):
+        roles = [r for i, _, r, _ in rows if i == c]
+        assert blocks[c] == 1 + sum(x != y for x, y in zip(roles, roles[1:]))
+
+
 def test_sql_agrees(spark):
     own = [r for r in ROWS if r[0] != -7]
     con = duckdb.connect()
