@@ -124,13 +124,6 @@ def a14(v: Tables):
     return cov.join(hit, ["read", "mid"], "left").groupBy("region", "mid").agg(F.countDistinct("read").alias("covering"), F.count("hit").alias("called"), F.round(F.count("hit") / F.countDistinct("read"), 6).alias("fraction"))
 
 
-@query("a15_read_proportion", "SELECT read, round(sum(called) * 1.0 / (SELECT count(DISTINCT pos) FROM calls WHERE called = 1 AND chrom = 2), 6) AS proportion FROM calls WHERE chrom = 2 GROUP BY read")
-def a15(v: Tables):
-    c = v.calls.where("chrom = 2")
-    sites = c.where("called = 1").agg(F.countDistinct("pos").alias("sites"))
-    return c.groupBy("read").agg(F.sum("called").alias("s")).crossJoin(F.broadcast(sites)).select("read", F.round(F.col("s") / F.col("sites"), 6).alias("proportion"))
-
-
 @query("a15_read_proportion_all", "SELECT c.chrom, c.read, round(sum(c.called) * 1.0 / s.sites, 6) AS proportion FROM calls c LEFT JOIN (SELECT chrom, count(DISTINCT pos) AS sites FROM calls WHERE called = 1 GROUP BY chrom) s ON s.chrom = c.chrom GROUP BY c.chrom, c.read, s.sites")
 def a15_all(v: Tables):
     sites = v.calls.where("called = 1").groupBy("chrom").agg(F.countDistinct("pos").alias("sites"))
@@ -138,39 +131,25 @@ def a15_all(v: Tables):
     return each.join(F.broadcast(sites), "chrom", "left").select("chrom", "read", F.round(F.col("s") / F.col("sites"), 6).alias("proportion"))
 
 
-_MATRIX = "pos AS (SELECT DISTINCT chrom, pos FROM calls WHERE called = 1 AND pos % 40 = 0), mat AS (SELECT r.read, r.sample, p.chrom, p.pos, coalesce(max(c.called), 0) AS v FROM pos p JOIN reads r ON r.chrom = p.chrom AND p.pos >= r.lo AND p.pos < r.hi LEFT JOIN calls c ON c.read = r.read AND c.pos = p.pos GROUP BY r.read, r.sample, p.chrom, p.pos)"
+_MATRIX = "pos AS (SELECT DISTINCT chrom, pos FROM calls WHERE called = 1), mat AS (SELECT r.read, r.sample, p.chrom, p.pos, coalesce(max(c.called), 0) AS v FROM pos p JOIN reads r ON r.chrom = p.chrom AND p.pos >= r.lo AND p.pos < r.hi LEFT JOIN calls c ON c.read = r.read AND c.pos = p.pos GROUP BY r.read, r.sample, p.chrom, p.pos)"
 
 
-def _matrix(v: Tables, sites: str = "called = 1 AND pos % 40 = 0"):
-    pos = v.calls.where(sites).select("chrom", "pos").distinct()
+def _matrix(v: Tables):
+    pos = v.calls.where("called = 1").select("chrom", "pos").distinct()
     # each read carries its own few calls, so that the matrix, far larger than its sources, is never shuffled
     c = v.calls.groupBy("read", "pos").agg(F.max("called").alias("v")).groupBy("read").agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("own"))
     cov = I.point_join(pos, v.reads.join(c, "read", "left"))
     return cov.select(F.col("b_read").alias("read"), F.col("b_sample").alias("sample"), F.col("a_chrom").alias("chrom"), F.col("a_pos").alias("pos"), F.coalesce(F.element_at("b_own", F.col("a_pos")), F.lit(0)).alias("v"))
 
 
-@query("a17_matrix", f"WITH {_MATRIX} SELECT read, pos, v FROM mat")
-def a17(v: Tables):
-    return _matrix(v).select("read", "pos", "v")
-
-
-@query("a16_observed_columns", f"WITH {_MATRIX} SELECT chrom, pos, count(*) AS reads, CAST(sum(v) AS BIGINT) AS calls FROM mat GROUP BY chrom, pos HAVING count(*) >= 3")
-def a16(v: Tables):
-    return _matrix(v).groupBy("chrom", "pos").agg(F.count("*").alias("reads"), F.sum("v").alias("calls")).where("reads >= 3")
-
-
-# the two above at every called site
-_WHOLE_MATRIX = _MATRIX.replace(" AND pos % 40 = 0", "")
-
-
-@query("a17_matrix_all", f"WITH {_WHOLE_MATRIX} SELECT read, pos, v FROM mat")
+@query("a17_matrix_all", f"WITH {_MATRIX} SELECT read, pos, v FROM mat")
 def a17_all(v: Tables):
-    return _matrix(v, "called = 1").select("read", "pos", "v")
+    return _matrix(v).select("read", "pos", "v")
 
 
-@query("a16_observed_columns_all", f"WITH {_WHOLE_MATRIX} SELECT chrom, pos, count(*) AS reads, CAST(sum(v) AS BIGINT) AS calls FROM mat GROUP BY chrom, pos HAVING count(*) >= 3")
+@query("a16_observed_columns_all", f"WITH {_MATRIX} SELECT chrom, pos, count(*) AS reads, CAST(sum(v) AS BIGINT) AS calls FROM mat GROUP BY chrom, pos HAVING count(*) >= 3")
 def a16_all(v: Tables):
-    return _matrix(v, "called = 1").groupBy("chrom", "pos").agg(F.count("*").alias("reads"), F.sum("v").alias("calls")).where("reads >= 3")
+    return _matrix(v).groupBy("chrom", "pos").agg(F.count("*").alias("reads"), F.sum("v").alias("calls")).where("reads >= 3")
 
 
 @query("a18_read_info", "SELECT read, min(lo) AS lo, max(hi) AS hi, count(*) AS blocks, min(sample) AS sample FROM elements GROUP BY read")
@@ -196,12 +175,6 @@ def a22(v: Tables):
     return v.calls.join(v.clusters.select("read", "cluster"), "read").groupBy("cluster").agg(F.sum("called").alias("calls"), F.countDistinct("read").alias("reads"), F.round(F.sum("called") / F.count("*"), 6).alias("rate"))
 
 
-@query("a23_occupancy", f"WITH {_BLK} SELECT pos, count(DISTINCT read) AS n FROM (SELECT read, unnest(generate_series(lo, hi - 1)) AS pos FROM blk WHERE chrom = 1) GROUP BY pos")
-def a23(v: Tables):
-    each = B.expand(v.beds.where("chrom = 1")).select("read", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"))
-    return each.distinct().groupBy("pos").agg(F.count("*").alias("n"))
-
-
 @query("a23_occupancy_all", f"WITH {_BLK} SELECT chrom, pos, count(DISTINCT read) AS n FROM (SELECT read, chrom, unnest(generate_series(lo, hi - 1)) AS pos FROM blk) GROUP BY chrom, pos")
 def a23_all(v: Tables):
     each = B.expand(v.beds).select("read", "chrom", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"))

@@ -39,10 +39,9 @@ def t22(v: Tables):
     return e.select("vec_id", F.array_position("v", F.array_max("v")).cast("int").alias("dominant"), _n(F.array_max("v")).alias("loading"))
 
 
-@query("t28_profile_long", "SELECT vec_id, i AS feature, round(x, 6) AS value FROM (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, CAST(generate_subscripts(embedding, 1) AS INTEGER) AS i FROM embeddings) WHERE i <= 8")
+@query("t28_profile_long", "SELECT vec_id, i AS feature, round(x, 6) AS value FROM (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, CAST(generate_subscripts(embedding, 1) AS INTEGER) AS i FROM embeddings)")
 def t28(v: Tables):
-    head = F.slice(F.col("embedding").cast("array<double>"), 1, 8)
-    return v.embeddings.select("vec_id", F.posexplode(head).alias("i", "x")).select("vec_id", (F.col("i") + 1).alias("feature"), _n("x").alias("value"))
+    return v.embeddings.select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x")).select("vec_id", (F.col("i") + 1).alias("feature"), _n("x").alias("value"))
 
 
 @query("t29_allele_orientation", "SELECT read, CASE WHEN (read % 3 = 1 AND read % 2 = 0) OR (read % 3 = 2 AND read % 2 = 1) THEN 'ALT' WHEN read % 3 > 0 THEN 'REF' ELSE 'Unassigned' END AS allele FROM reads")
@@ -138,13 +137,6 @@ def a59(v: Tables):
     return _opened(v).groupBy("region").agg(F.count("*").alias("n_reads"), F.count_if("open").alias("n_open"), F.countDistinct("sample").alias("samples"), F.min("rlo").alias("first_lo"))
 
 
-@query("a64_observed_profile", "SELECT g.bin, CAST(sum(c.called) AS BIGINT) AS calls, count(c.read) AS chances, round(CASE WHEN count(c.read) > 0 THEN sum(c.called) * 1.0 / count(c.read) END, 6) AS rate FROM (SELECT unnest(generate_series(0, 120)) AS bin) g LEFT JOIN calls c ON CAST(floor((c.pos - c.pos % 10) % 1000 / 10.0) AS BIGINT) = g.bin AND c.chrom = 0 GROUP BY g.bin")
-def a64(v: Tables):
-    c = v.calls.where("chrom = 0").groupBy(F.floor(((F.col("pos") - F.col("pos") % 10) % 1000) / 10).alias("bin")).agg(F.sum("called").alias("calls"), F.count("*").alias("k"))
-    grid = v.spark.range(0, 121).select(F.col("id").alias("bin"))
-    return grid.join(c, "bin", "left").select("bin", "calls", F.coalesce("k", F.lit(0)).alias("chances"), _n(S.ratio(F.col("calls"), F.col("k"))).alias("rate"))
-
-
 @query("a64_observed_profile_all", "SELECT g.chrom, g.bin, CAST(sum(c.called) AS BIGINT) AS calls, count(c.read) AS chances, round(CASE WHEN count(c.read) > 0 THEN sum(c.called) * 1.0 / count(c.read) END, 6) AS rate FROM (SELECT chrom, unnest(generate_series(0, 120)) AS bin FROM (SELECT DISTINCT chrom FROM calls)) g LEFT JOIN calls c ON CAST(floor((c.pos - c.pos % 10) % 1000 / 10.0) AS BIGINT) = g.bin AND c.chrom = g.chrom GROUP BY g.chrom, g.bin")
 def a64_all(v: Tables):
     c = v.calls.groupBy("chrom", F.floor(((F.col("pos") - F.col("pos") % 10) % 1000) / 10).alias("bin")).agg(F.sum("called").alias("calls"), F.count("*").alias("k"))

@@ -31,12 +31,6 @@ def f02(v: Tables):
     return P.top(some, 3, by=["gene"], order=[F.desc("value"), "read"]).select("gene", "read", "value")
 
 
-@query("f04_complete_rows", "WITH c AS (SELECT read, gene, CASE WHEN cluster IS NULL THEN NULL ELSE cluster % 3 END AS v FROM clusters WHERE gene < 10), g AS (SELECT read FROM c GROUP BY read HAVING count(*) = count(v)), k AS (SELECT c.* FROM c JOIN g ON c.read = g.read) SELECT read, gene, v FROM k WHERE gene IN (SELECT gene FROM k GROUP BY gene HAVING max(abs(v)) > 0)")
-def f04(v: Tables):
-    c = v.clusters.where("gene < 10").select("read", "gene", (F.col("cluster") % 3).alias("v"))
-    return P.complete_rows(c, row="read", column="gene", value="v").select("read", "gene", "v")
-
-
 @query("f04_complete_rows_all", "WITH c AS (SELECT read, gene, CASE WHEN cluster IS NULL THEN NULL ELSE cluster % 3 END AS v FROM clusters), g AS (SELECT read FROM c GROUP BY read HAVING count(*) = count(v)), k AS (SELECT c.* FROM c JOIN g ON c.read = g.read) SELECT read, gene, v FROM k WHERE gene IN (SELECT gene FROM k GROUP BY gene HAVING max(abs(v)) > 0)")
 def f04_all(v: Tables):
     c = v.clusters.select("read", "gene", (F.col("cluster") % 3).alias("v"))
@@ -159,12 +153,6 @@ def e14(v: Tables):
     return v.regions.select("region", F.sha2(F.to_json(F.struct("chrom", "hi", "lo")), 256).alias("signature"))
 
 
-@query("e16_log_factorial", "SELECT region, round(lgamma(hi - lo + 1), 4) AS log_factorial FROM regions WHERE hi - lo < 200")
-def e16(v: Tables):
-    n = F.col("hi") - F.col("lo")
-    return v.regions.where(n < 200).select("region", F.round(F.aggregate(F.sequence(F.lit(1).cast("long"), n), F.lit(0.0), lambda a, i: a + F.log(i.cast("double"))), 4).alias("log_factorial"))
-
-
 @query("e16_log_factorial_all", "SELECT region, round(lgamma(hi - lo + 1), 4) AS log_factorial FROM regions")
 def e16_all(v: Tables):
     n = F.col("hi") - F.col("lo")

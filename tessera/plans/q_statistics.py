@@ -66,15 +66,6 @@ def x10(v: Tables):
     return v.clusters.join(F.broadcast(o), "sample").groupBy("sample").agg(F.round(S.empirical(F.col("m"), F.col("value")), 6).alias("p"))
 
 
-@query("x11_separation", "SELECT gene, CASE WHEN min(value) FILTER (sample = 0) > max(value) FILTER (sample > 0) THEN 'separated' ELSE 'mixed' END AS status, round(exp(lgamma(count(*) FILTER (sample = 0) + 1) + lgamma(count(*) FILTER (sample > 0) + 1) - lgamma(count(*) + 1)), 9) AS least_p FROM (SELECT gene * 1000 + read % 500 AS gene, sample, value FROM clusters) GROUP BY gene HAVING count(*) <= 40")
-def x11(v: Tables):
-    c = v.clusters.select((F.col("gene") * 1000 + F.col("read") % 500).alias("gene"), "sample", "value")
-    first = F.col("sample") == 0
-    g = c.groupBy("gene").agg(F.min(F.when(first, F.col("value"))).alias("lo"), F.max(F.when(~first, F.col("value"))).alias("hi"), F.count_if(first).alias("a"), F.count_if(~first).alias("b")).where("a + b <= 40")
-    lf = lambda n: F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1)).cast("long")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
-    return g.select("gene", F.when(F.col("lo") > F.col("hi"), "separated").otherwise("mixed").alias("status"), F.round(F.exp(lf(F.col("a")) + lf(F.col("b")) - lf(F.col("a") + F.col("b"))), 9).alias("least_p"))
-
-
 def _log_factorial(n):
     """Stirling's series, shifted by eight places; at 8 and beyond it is exact to 1e-11, whatever the size."""
     m = n.cast("double") + 8
