@@ -86,6 +86,92 @@ def _connected(n, src, dst, labels):
     return np.array([find(x) for x in range(n)])
 
 
+#: Distances that are worked at together, so that they stay in the processor's caches.
+_NEAR = 1 << 16
+
+
+def _strips(x: np.ndarray, y: np.ndarray):
+    step = max(1, _NEAR // max(1, len(y)))
+    return [slice(low, low + step) for low in range(0, len(x), step)]
+
+
+def manhattan(x: np.ndarray, y: np.ndarray, has_x: np.ndarray, has_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of all rows of ``x`` from all of ``y``, and which are null; ``has_x``, ``has_y``: components that are there.
+
+    Components are added in order, so that equal vectors have equal distances, from either side."""
+    whole, columns = has_x.all() and has_y.all(), np.ascontiguousarray(y.T)
+    out, none = np.zeros((len(x), len(y))), np.zeros((len(x), len(y)), bool)
+    with np.errstate(invalid="ignore", over="ignore"):
+        for s in _strips(x, y):
+            total, any_ = out[s], np.zeros(out[s].shape, bool)
+            each = np.empty(total.shape)
+            for k in range(x.shape[1]):
+                np.subtract(x[s, k, None], columns[k], out=each)
+                np.abs(each, out=each)
+                if not whole:
+                    both = has_x[s, k, None] & has_y[:, k]
+                    each[~both] = 0
+                    any_ |= both
+                total += each
+            if not whole:
+                none[s] = ~any_
+    return out, none
+
+
+def correlation_distance(x: np.ndarray, y: np.ndarray, has_x: np.ndarray, has_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One minus the correlation of all rows of ``x`` with all of ``y``, over common components; not a number if one of the
+    two is constant there.  Null as in :func:`manhattan`."""
+    out, none = np.ones((len(x), len(y))), np.zeros((len(x), len(y)), bool)
+    whole = has_x.all() and has_y.all()
+    with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+        a, b = _standard(x, has_x), np.ascontiguousarray(_standard(y, has_y).T)
+        for s in _strips(x, y):
+            each = np.empty(out[s].shape)
+            for k in range(len(b)):
+                np.multiply(a[s, k, None], b[k], out=each)
+                out[s] -= each
+        for i in () if whole else range(len(x)):  # vectors that have other components
+            at = np.flatnonzero((has_x[i] != has_y).any(axis=1))
+            both = has_x[i] & has_y[at]
+            none[i, at] = ~both.any(axis=1)
+            u, v = _standard(np.broadcast_to(x[i], both.shape), both), _standard(y[at], both)
+            out[i, at] = 1 - _total(u * v)
+        none |= ~has_x.any(axis=1)[:, None] & ~has_y.any(axis=1)
+    return np.maximum(out, 0.0), none
+
+
+def _total(x: np.ndarray) -> np.ndarray:
+    """Sums of rows in order, so that zeros at their ends do not change them."""
+    return np.cumsum(x, axis=1)[:, -1]
+
+
+def _standard(x: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """Rows with mean 0 and length 1 over the components that are there, 0 elsewhere; not a number where a row is constant."""
+    centred = np.where(has, x - (_total(np.where(has, x, 0)) / has.sum(axis=1))[:, None], 0)
+    flat = np.where(has, x, -np.inf).max(axis=1) == np.where(has, x, np.inf).min(axis=1)
+    return centred / np.where(flat, np.nan, np.sqrt(_total(centred * centred)))[:, None]
+
+
+def least(d: np.ndarray, none: np.ndarray, own: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns, values and whether these are null of the ``k`` least of each row, ties by column: numbers, then what is
+    not a number, then null ones.  What ``own`` marks is left out."""
+    k, n = min(k, d.shape[1]), len(d)
+    own = np.zeros(d.shape, bool) if own is None else own
+    at, lines = np.empty((n, k), np.int64), np.arange(n)
+    if k <= 16 and np.isfinite(d).all() and not none.any():
+        left = np.where(own, np.inf, d)
+        for c in range(k):
+            at[:, c] = left.argmin(axis=1)
+            left[lines, at[:, c]] = np.inf
+        # a row whose others are used up finds its own columns, or some column again
+        ok = np.arange(k) < np.minimum(k, (~own).sum(axis=1))[:, None]
+    else:
+        at = np.lexsort((d, none, own))[:, :k]
+        ok = ~np.take_along_axis(own, at, axis=1)
+    r, c = np.repeat(lines, k)[ok.ravel()], at[ok]
+    return r, c, d[r, c], none[r, c]
+
+
 def ward(points: np.ndarray) -> np.ndarray:
     """Merges (a, b, height, size) of minimal-variance clustering on squared distances; new clusters count from n."""
     n = len(points)
