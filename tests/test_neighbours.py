@@ -39,3 +39,7 @@ def same_as_sql(name, spark, path, monkeypatch, rows):
 @pytest.mark.parametrize("rows", [7, 1024])
 def test_manhattan_neighbours_of_odd_vectors(spark, odd, monkeypatch, rows):
     same_as_sql("y07_manhattan_neighbours", spark, odd, monkeypatch, rows)
+
+
+def test_graph_of_odd_vectors(spark, odd, monkeypatch):
+    same_as_sql("y07_neighbour_graph", spark, odd, monkeypatch, 7)
