@@ -43,3 +43,7 @@ def test_manhattan_neighbours_of_odd_vectors(spark, odd, monkeypatch, rows):
 
 def test_graph_of_odd_vectors(spark, odd, monkeypatch):
     same_as_sql("y07_neighbour_graph", spark, odd, monkeypatch, 7)
+
+
+def test_majority_of_odd_vectors(spark, odd, monkeypatch):
+    same_as_sql("y13_majority_label", spark, odd, monkeypatch, 7)
