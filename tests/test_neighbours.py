@@ -47,3 +47,8 @@ def test_graph_of_odd_vectors(spark, odd, monkeypatch):
 
 def test_majority_of_odd_vectors(spark, odd, monkeypatch):
     same_as_sql("y13_majority_label", spark, odd, monkeypatch, 7)
+
+
+@pytest.mark.parametrize("rows", [7, 1024])
+def test_correlation_neighbours_of_odd_vectors(spark, odd, monkeypatch, rows):
+    same_as_sql("y06_correlation_neighbours", spark, odd, monkeypatch, rows)
