@@ -173,47 +173,89 @@ def least(d: np.ndarray, none: np.ndarray, own: np.ndarray | None, k: int) -> tu
 
 
 def ward(points: np.ndarray) -> np.ndarray:
-    """Merges (a, b, height, size) of minimal-variance clustering on squared distances; new clusters count from n."""
-    n = len(points)
-    d = ((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
-    np.fill_diagonal(d, np.inf)
-    size, name, alive = np.ones(n), np.arange(n), np.ones(n, bool)
-    out = []
-    for step in range(n - 1):
-        k = int(np.argmin(d))
-        i, j = sorted(divmod(k, n))
-        height = d[i, j]
-        rest = alive.copy()
-        rest[[i, j]] = False
-        t = size[i] + size[j] + size[rest]
-        d[i, rest] = d[rest, i] = ((size[i] + size[rest]) * d[i, rest] + (size[j] + size[rest]) * d[j, rest] - size[rest] * height) / t
-        d[j, :] = d[:, j] = np.inf
-        alive[j] = False
-        out.append((min(name[i], name[j]), max(name[i], name[j]), np.sqrt(height), size[i] + size[j]))
-        size[i] += size[j]
-        name[i] = n + step
-    return np.array(out).reshape(-1, 4)
-
-
-def cut(merges: np.ndarray, n: int, k: int) -> np.ndarray:
-    parent = {i: i for i in range(2 * n)}
+    """Merges (a, b, height, size) of minimal-variance clustering on squared distances; new clusters count from n.
+
+    Chains of nearest neighbours among centres: no more is held than the points, and the work is their square."""
+    n, d = points.shape
+    centre = points - points.mean(axis=0)
+    size, norm, first, alive = np.ones(n), (centre * centre).sum(axis=1), np.arange(n), np.ones(n, bool)
+    found, chain = [], []
+    for left in range(n, 1, -1):
+        if 2 * left < len(alive):
+            keep = np.flatnonzero(alive)
+            place = np.zeros(len(alive), np.int64)
+            place[keep] = np.arange(len(keep))
+            chain = place[chain].tolist()
+            centre, size, norm, first, alive = (v[keep] for v in (centre, size, norm, first, alive))
+        while True:
+            if not chain:
+                chain = [int(alive.argmax())]
+            a = chain[-1]
+            # squared distances by one product; those that rounding leaves in doubt are made anew
+            weight, both = 2 * size * size[a] / (size + size[a]), norm + norm[a]
+            about, slack = weight * (both - 2 * (centre @ centre[a])), weight * both * (1e-15 * (d + 8))
+            other = alive.copy()
+            other[a] = False
+            near = np.flatnonzero(other & (about - slack <= (about + slack)[other].min()))
+            exact = weight[near] * ((centre[near] - centre[a]) ** 2).sum(axis=1)
+            best = exact.min()
+            if len(chain) > 1 and (exact[near == chain[-2]] == best).any():
+                break
+            chain.append(int(near[exact.argmin()]))
+        b, a = chain.pop(), chain.pop()
+        found.append((first[a], first[b], best))
+        centre[a] = (size[a] * centre[a] + size[b] * centre[b]) / (size[a] + size[b])
+        size[a] += size[b]
+        norm[a] = centre[a] @ centre[a]
+        first[a] = min(first[a], first[b])
+        alive[b] = False
+    out, parent, of, many = [], list(range(n)), list(range(n)), [1] * n
 
     def find(x):
         while parent[x] != x:
+            parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    for step, (a, b, _, _) in enumerate(merges[: n - k]):
-        parent[find(int(a))] = parent[find(int(b))] = n + step
-    roots = [find(i) for i in range(n)]
-    order = {r: i for i, r in enumerate(dict.fromkeys(roots))}
-    return np.array([order[r] for r in roots])
+    for step, (a, b, height) in enumerate(sorted(found, key=lambda m: m[2])):
+        a, b = find(int(a)), find(int(b))
+        if many[a] < many[b]:
+            a, b = b, a
+        out.append((min(of[a], of[b]), max(of[a], of[b]), np.sqrt(height), many[a] + many[b]))
+        parent[b], of[a], many[a] = a, n + step, many[a] + many[b]
+    return np.array(out).reshape(-1, 4)
 
 
-def silhouette(points: np.ndarray, labels: np.ndarray) -> float:
-    d = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+def cut(merges: np.ndarray, n: int, k: int) -> np.ndarray:
+    root = np.arange(2 * n)
+    for step in range(n - k - 1, -1, -1):
+        root[merges[step, :2].astype(int)] = root[n + step]
+    _, at, labels = np.unique(root[:n], return_index=True, return_inverse=True)
+    order = np.empty(len(at), int)
+    order[np.argsort(at)] = np.arange(len(at))  # clusters count in the order of their first points
+    return order[labels]
+
+
+def cluster_sums(points: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The sum of each point's distances from the points of each cluster, some points at a time."""
+    points = points - points.mean(axis=0)
+    norm, of = (points * points).sum(axis=1), np.eye(labels.max() + 1)[labels]
+    out, step = np.empty(of.shape), max(1, (1 << 20) // len(points))
+    for low in range(0, len(points), step):
+        some = points[low : low + step]
+        both = norm[low : low + step, None] + norm
+        d = both - 2 * (some @ points.T)
+        i, j = np.nonzero(d <= 1e-6 * both)  # the product is not exact for near points
+        for at in np.array_split(np.arange(len(i)), 1 + len(i) * points.shape[1] // (1 << 21)):
+            d[i[at], j[at]] = ((some[i[at]] - points[j[at]]) ** 2).sum(axis=1)
+        out[low : low + step] = np.sqrt(d) @ of
+    return out
+
+
+def silhouette(points: np.ndarray, labels: np.ndarray, sums: np.ndarray | None = None) -> float:
+    """The mean silhouette; ``sums``: :func:`cluster_sums`, where it is known."""
+    sums = cluster_sums(points, labels) if sums is None else sums
     k = labels.max() + 1
-    sums = np.stack([d[:, labels == c].sum(axis=1) for c in range(k)], axis=1)
     counts = np.bincount(labels, minlength=k)
     own = counts[labels]
     a = np.where(own > 1, sums[np.arange(len(labels)), labels] / np.maximum(own - 1, 1), 0)

@@ -35,12 +35,19 @@ def cluster_ward(rows: DataFrame, *, group: str, row: str, vector: str, most: in
         pdf = pdf.sort_values(row)
         points = np.stack(pdf[vector].to_list()).astype(float)
         merges, best = K.ward(points), (-2.0, 1, np.zeros(len(points), int))
-        for k in range(2, min(most, len(points) - 1) + 1):
+        finest = min(most, len(points) - 1)
+        small = K.cut(merges, len(points), finest) if finest > 1 else best[2]
+        sums, head = K.cluster_sums(points, small), np.unique(small, return_index=True)[1]
+        for k in range(2, finest + 1):
             labels = K.cut(merges, len(points), k)
-            best = max(best, (K.silhouette(points, labels), -k, labels), key=lambda b: b[:2])
+            of = np.eye(k)[labels[head]]  # the cluster that holds each of the smallest ones
+            best = max(best, (K.silhouette(points, labels, sums @ of), -k, labels), key=lambda b: b[:2])
         return pd.DataFrame({group: pdf[group].iloc[0], "row": pdf[row], "cluster": best[2] + 1, "k": int(best[2].max()) + 1})
 
-    return rows.select(group, row, F.col(vector).cast("array<double>").alias(vector)).groupBy(group).applyInPandas(one, f"{group} {kind}, row long, cluster long, k long")
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # by number, as a few bytes are much work here
+    dealt = rows.select(group, row, F.col(vector).cast("array<double>").alias(vector)).repartition(tasks, group)
+    return dealt.groupBy(group).applyInPandas(one, f"{group} {kind}, row long, cluster long, k long")
 
 
 def odds_ratios(tables: DataFrame) -> DataFrame:

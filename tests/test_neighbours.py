@@ -52,3 +52,33 @@ def test_majority_of_odd_vectors(spark, odd, monkeypatch):
 @pytest.mark.parametrize("rows", [7, 1024])
 def test_correlation_neighbours_of_odd_vectors(spark, odd, monkeypatch, rows):
     same_as_sql("y06_correlation_neighbours", spark, odd, monkeypatch, rows)
+
+
+def test_ward_equals_updated_distances():
+    rng = np.random.default_rng(8)
+    for points in (rng.normal(size=(40, 5)), np.repeat(rng.normal(size=(12, 3)), 3, axis=0), rng.normal(size=(3, 2)) + 1e4):
+        n = len(points)
+        d = ((points[:, None] - points[None]) ** 2).sum(axis=2)
+        np.fill_diagonal(d, np.inf)
+        size, heights = np.ones(n), []
+        for _ in range(n - 1):
+            i, j = sorted(divmod(int(np.argmin(d)), n))
+            heights.append(d[i, j])
+            rest = np.isfinite(d[i]) & np.isfinite(d[j])
+            d[i, rest] = d[rest, i] = ((size[i] + size[rest]) * d[i, rest] + (size[j] + size[rest]) * d[j, rest] - size[rest] * d[i, j]) / (size[i] + size[j] + size[rest])
+            d[j, :] = d[:, j] = np.inf
+            size[i] += size[j]
+        merges = K.ward(points)
+        assert np.allclose(merges[:, 2] ** 2, heights, atol=1e-9) and merges[-1, 3] == n
+        labels = K.cut(merges, n, 3)
+        e = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+        assert np.allclose(K.cluster_sums(points, labels), np.stack([e[:, labels == c].sum(axis=1) for c in range(3)], axis=1))
+
+
+def test_clustering_holds_no_matrix_of_pairs():
+    points = np.random.default_rng(9).normal(size=(2000, 64))
+    tracemalloc.start()
+    K.silhouette(points, K.cut(K.ward(points), len(points), 4))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100_000_000  # all differences of pairs are 2 GB
