@@ -389,10 +389,10 @@ def _tiles(batches: Iterator[pa.RecordBatch], names: list[str], percent: int) ->
 
 
 def _dealt(rows: DataFrame, *more: str) -> tuple[DataFrame, list[str]]:
-    """Rows by tile and part, sorted by size; ``tile`` is a hash of both."""
-    names = ["tile", "key", "part", "n", "node", "pos", "bits", *more]
-    keyed = rows.withColumn("tile", F.xxhash64("key", "part"))
-    return keyed.repartition("tile").sortWithinPartitions("tile", "key", "part", "n", "node").select(*names), names
+    """Rows by tile and part, sorted by size; ``tile`` is a hash of both, which stay behind."""
+    names = ["tile", "n", "node", "pos", "bits", *more]
+    keyed = rows.withColumn("tile", F.xxhash64("key", "part")).select(*names)
+    return keyed.repartition("tile").sortWithinPartitions("tile", "n", "node"), names
 
 
 def picked(rows: DataFrame, percent: int) -> DataFrame:
@@ -573,7 +573,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     the components of all links between similar nodes.  ``part``: rows of a tile's part, about."""
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
     made = nodes(texts, words, percent, part)
-    rows = tiles(made, percent)
+    rows, members = tiles(made, percent), written(made.select("id", "n", "node"), "members")
+    discard(made)  # first shingles and bitmaps
     stars = written(picked(rows, percent), "stars")
     sets = sets_of(texts, stars, words)
     labels, apart = components(stars_of(sets, percent)), rows
@@ -585,7 +586,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
         apart = table.where("own = 1").select(*rows.columns)
     for table in (apart, stars, sets):
         discard(table)
-    return made.select("id", "n", "node"), labels
+    return members, labels
 
 
 def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -120,3 +120,11 @@ def test_components_of_paths(spark):
 
 def test_no_rows(spark):
     assert nj.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_first_shingles_go_when_the_tiles_are_there(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tessera.llm.common.shared_dir", lambda _: str(tmp_path))
+    rows = [(i, f"the same words again and again in document {i // 2}") for i in range(6)]
+    members, labels = nj.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert members.count() == 6 and labels.count() >= 0
+    assert not [f for d in tmp_path.glob("nodes-*") for f in d.glob("part-*")]
