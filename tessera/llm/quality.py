@@ -159,15 +159,18 @@ def language(column: str) -> Column:
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """``gram``, ``n`` over all of a table of texts ``t``: counted in each task, then added up by shards."""
+    """``gram``, ``n`` over all of a table of compressed texts ``z``: counted in each task, then added up by shards.
+
+    Texts are loosened where they are counted: a second Python worker beside each task would hold memory of its own."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for windows, counts in _counted(t.as_py() for b in batches for t in b.column("t")):
+        press = zstandard.ZstdDecompressor()
+        for windows, counts in _counted(_text(z, press) for b in batches for z in b.column("z")):
             for low in range(0, len(counts), 100_000):
                 yield pa.RecordBatch.from_arrays([_strings(windows[low : low + 100_000]), pa.array(counts[low : low + 100_000])], names=["gram", "n"])
         trim()
 
-    return texts.mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.select("z").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
@@ -192,7 +195,7 @@ def train(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_c
     """The model of all texts whose id is among ``trusted`` (one column of ids)."""
     texts = _squeezed(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")), "id")
     texts = texts.join(trusted.toDF("id").hint("merge"), "id", "left_semi")
-    counts = {ORDER: written(count_grams(_plain(texts)), "grams")}
+    counts = {ORDER: written(count_grams(texts), "grams")}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: how many different characters stand in front
         counts[k] = written(counts[k + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), "grams")
     out = Model(docs.sparkSession)
@@ -247,6 +250,8 @@ def _squeezed(rows: DataFrame, *keys: str) -> DataFrame:
         for b in batches:
             z = [None if not t.is_valid else press.compress(t.as_buffer().to_pybytes()) for t in b.column("t")]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(z, pa.binary())], names=[*keys, "z"])
+        b = z = None
+        trim()
 
     return rows.select(*keys, "t").mapInArrow(squeeze, T.StructType([*(rows.schema[k] for k in keys), T.StructField("z", T.BinaryType())]))
 
@@ -255,18 +260,6 @@ def _text(z: pa.Scalar, press: zstandard.ZstdDecompressor) -> str:
     return press.decompress(z.as_py()).decode("utf-8", "replace") if z.is_valid else ""
 
 
-def _plain(rows: DataFrame) -> DataFrame:
-    """``t``: the texts of compressed ones."""
-
-    def loosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdDecompressor()
-        for b in batches:
-            for low in range(0, b.num_rows, 500):
-                yield pa.RecordBatch.from_arrays([pa.array([_text(z, press) for z in b.column("z").slice(low, 500)], pa.string())], names=["t"])
-
-    return rows.select("z").mapInArrow(loosen, "t string")
-
-
 def with_perplexity(docs: DataFrame, m: Model, *, id_col: str = "doc_id", text_col: str = "text", into: str = "perplexity", drop_text: bool = False) -> DataFrame:
     """``docs`` with a column of perplexities, null for null and empty texts.  Replaces a column of that name.
 

@@ -32,6 +32,8 @@ from pyspark.sql import types as T
 from .common import discard, text_of, trim, written
 
 SAMPLE = 20_000
+#: Different entries that a task counts before it hands them on to be added up.
+HELD = 50_000
 #: Letters of other scripts and full-width forms that look like Latin ones.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "ո": "n", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ß": "ss", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "æ": "ae", "œ": "oe"}
 #: Digits and signs written for letters.
@@ -282,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
         def entries():
-            for some in itertools.batched(list(counts.held), 50_000):
+            for some in itertools.batched(list(counts.held), 10_000):
                 yield rows(some, [None] * len(some), *([c[e] for e in some] for c in (counts.held, *counts.rates)))
 
         for b in batches:
@@ -290,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 forms = fold_both(t.as_py())
                 counts.add(forms, y)
                 lengths[y][forms[0].count(" ")] += 1
-                if len(counts.held) > 200_000:
+                if len(counts.held) > HELD:
                     yield from entries()
                     counts = Counts()
         yield from entries()
@@ -298,6 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         sizes = sorted(lengths[0].keys() | lengths[1].keys())
         yield rows([None] * len(sizes), sizes, [0] * len(sizes), *([float(n[k]) for k in sizes] for n in lengths))
         del counts, lengths
+        _word_entries.cache_clear()
         trim()
 
     names, kinds = ["entry", "length", "held", "rate0", "rate1"], (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
