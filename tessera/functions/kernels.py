@@ -172,6 +172,105 @@ def least(d: np.ndarray, none: np.ndarray, own: np.ndarray | None, k: int) -> tu
     return r, c, d[r, c], none[r, c]
 
 
+#: Of so many screened pairs one may be left, and this many in any case; with more, every distance is computed. Rows of a side then.
+_LEFT, _FEW, _SIDE = 16, 1 << 16, 1024
+
+
+def _rough_correlation(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, float]:
+    """Minus the correlations of rows of mean 0 and length 1, and how far one may be from its exact value."""
+    return -p.astype(np.float32) @ q.astype(np.float32).T, (p.shape[1] + 8) * 2.0**-23
+
+
+def _exact_correlation(p: np.ndarray, q: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    out = np.ones(len(r))
+    for u, v in zip(np.ascontiguousarray(p.T), np.ascontiguousarray(q.T)):
+        out -= u.take(r) * v.take(c)
+    return np.maximum(out, 0.0)
+
+
+def _sound_correlation(x: np.ndarray, has: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+        p = _standard(x, has)
+    return p, has.all(axis=1) & np.isfinite(p).all(axis=1)
+
+
+#: By kernel: points and which of them can be screened, rough values of all pairs, exact values of some.
+_SCREENS = {correlation_distance: (_sound_correlation, _rough_correlation, _exact_correlation)}
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    """The transpose, by strips that stay in the processor's caches."""
+    out = np.empty(x.shape[::-1], x.dtype)
+    for i in range(0, len(x), 64):
+        for j in range(0, x.shape[1], 256):
+            out[j : j + 256, i : i + 64] = x[i : i + 64, j : j + 256].T
+    return out
+
+
+def _low(rough: np.ndarray, own: np.ndarray | None, k: int, error: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the pairs that can be among the ``k`` least of their row, if values are off by ``error`` at most."""
+    whole = np.issubdtype(rough.dtype, np.integer)
+    top = np.iinfo(rough.dtype).max if whole else np.inf
+    if own is not None:
+        rough[own] = top
+    k = min(k, rough.shape[1])
+    most = np.partition(rough, k - 1, axis=1)[:, k - 1].astype(float) + 2 * error
+    most = np.minimum(np.ceil(most), top - 1).astype(rough.dtype) if whole else np.nextafter(np.minimum(most, 1e38).astype(rough.dtype), rough.dtype.type(np.inf))
+    return np.divmod(np.flatnonzero(rough <= most[:, None]), rough.shape[1])
+
+
+def _screened(screen, p: np.ndarray, q: np.ndarray, own: np.ndarray | None, k: int, both: bool) -> list | None:
+    """As :func:`closest`, by the exact values of the few pairs that rough ones leave; nothing if they leave many."""
+    _, rough, exact = screen
+    if (found := rough(p, q)) is None:
+        return None
+    out, (values, error) = [], found
+    for way in range(1 + both):
+        if way:
+            values, own = _turned(values), None if own is None else own.T
+        r, c = _low(values, own, k, error)
+        if len(r) > max(_FEW, values.size // _LEFT):
+            return None
+        d = exact(q, p, r, c) if way else exact(p, q, r, c)
+        order = np.lexsort((c, d, r))
+        order = order[np.arange(len(r)) - np.searchsorted(r, r) < k]  # r is in order already
+        out.append((way, r[order], c[order], d[order], np.zeros(len(order), bool)))
+    return out
+
+
+def closest(distance, x: np.ndarray, y: np.ndarray, has_x: np.ndarray, has_y: np.ndarray, names: np.ndarray | None, k: int) -> list[tuple]:
+    """Pieces (0, rows of ``x``, rows of ``y``, values, nulls) and (1, rows of ``y``, rows of ``x``, ...) that hold, for each row,
+    the ``k`` least of the other block as :func:`least` gives them, and other pairs at times.
+
+    With ``names`` both blocks are one, equal names are no pair, and there are pieces of the first kind only.  Rows without gaps
+    are screened by rough values with a known error, where ``distance`` has them; exact values decide.  Other rows are
+    compared by ``distance`` with all."""
+    screen, alone, out = _SCREENS.get(distance), names is not None, []
+    (p, fit_x), (q, fit_y) = (screen[0](*z) if screen else (z[0], np.zeros(len(z[0]), bool)) for z in ((x, has_x), (y, has_y)))
+    of_x, of_y = ([np.flatnonzero(f), np.flatnonzero(~f)] for f in (fit_x, fit_y))
+
+    def whole(a, b, both):
+        for i in range(0, len(a), _SIDE):
+            for j in range(0, len(b), _SIDE):
+                s, t = a[i : i + _SIDE], b[j : j + _SIDE]
+                d, none = distance(x[s], y[t], has_x[s], has_y[t])
+                own = names[s][:, None] == names[t] if alone else None
+                for way in range(1 + both):
+                    r, c, *found = least(d.T, none.T, None if own is None else own.T, k) if way else least(d, none, own, k)
+                    out.append((0 if alone else way, *((t[r], s[c]) if way else (s[r], t[c])), *found))
+
+    for i, a in enumerate(of_x):
+        for j, b in enumerate(of_y):
+            if len(a) and len(b) and not (alone and i > j):
+                both = not alone or i != j
+                found = _screened(screen, p[a], q[b], names[a][:, None] == names[b] if alone else None, k, both) if i + j == 0 else None
+                if found is None:
+                    whole(a, b, both)
+                else:
+                    out += [(way, *((b[r], a[c]) if way else (a[r], b[c])), *rest) for way, r, c, *rest in found]
+    return out
+
+
 def ward(points: np.ndarray) -> np.ndarray:
     """Merges (a, b, height, size) of minimal-variance clustering on squared distances; new clusters count from n.
 

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kernels import correlation_distance, least, manhattan
+from ..functions.kernels import closest, correlation_distance, manhattan
 
 __all__ = ["correlation_distance", "graph", "majority", "manhattan", "nearest"]
 
 #: Rows and components of a block, at most about; two blocks and the distances between them are what a task holds.
-BLOCK_ROWS, BLOCK_COMPONENTS = 1024, 1 << 22
+BLOCK_ROWS, BLOCK_COMPONENTS = 2048, 1 << 22
 
 
 def _matrix(vectors: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,12 +32,15 @@ def nearest(df: DataFrame, k: int, *, group: str, row: str, vector: str, distanc
     the smaller row.  Groups are the molecules over one region; a group is compared with itself, never with others.
 
     A group's rows are dealt into blocks, and each pair of blocks is one piece of work, which hands on only the ``k`` best
-    of each of its rows: pairs of rows are never rows of a table.  All pairs of a group are compared, so the work grows with the square of
-    its size.  ``distance`` is a kernel over two blocks.  Components that one of two vectors lacks do not count for them;
-    rows without components, a group or a name take no part.  Distances that are not a number come after all others,
-    and null ones (no common component) last."""
+    of each of its rows: pairs of rows are never rows of a table.  All pairs of a group are compared, so the work grows with the
+    square of its size; rough values leave few pairs to compute exactly (:func:`closest`).  ``distance`` is a kernel over
+    two blocks.  Components that one of two vectors lacks do not count for them; rows without components, a group or a
+    name take no part.  Distances that are not a number come after all others, and null ones (no common component) last."""
     spark, kind = df.sparkSession, df.schema[row].dataType
-    v = df.select(group, F.col(row).alias("__row"), F.col(vector).cast("array<double>").alias("__v")).where(F.col(group).isNotNull() & F.col("__row").isNotNull() & (F.size("__v") > 0))
+    values = F.col(vector)
+    if df.schema[vector].dataType.elementType not in (T.FloatType(), T.DoubleType()):
+        values = values.cast("array<double>")
+    v = df.select(group, F.col(row).alias("__row"), values.alias("__v")).where(F.col(group).isNotNull() & F.col("__row").isNotNull() & (F.size("__v") > 0))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.size("__v")) / BLOCK_COMPONENTS))
     dealt = v.join(v.groupBy(group).agg(blocks.alias("__blocks")), group).withColumn("__block", F.expr("pmod(xxhash64(__row), __blocks)"))
     packed = dealt.groupBy(group, "__block", "__blocks").agg(F.collect_list(F.struct("__row", "__v")).alias("__rows"))
@@ -51,21 +54,18 @@ def nearest(df: DataFrame, k: int, *, group: str, row: str, vector: str, distanc
         ids, vectors = ([pc.struct_field(x, c) for x in rows] for c in ("__row", "__v"))
         width = max(pc.max(pc.list_value_length(x)).as_py() for x in vectors)
         (x, has_x), (y, has_y) = (_matrix(vectors[at], width) for at in (0, -1))
-        d, none = distance(x, y, has_x, has_y)
         alone = pair.column("__i")[0] == pair.column("__j")[0]
         if not alone and len(rows) == 1:  # the other block is empty
             return pa.table({c: pa.array([], t) for c, t in zip(names, (pair.schema.field(group).type, ids[0].type, ids[0].type, pa.float64()))})
-        name = pc.rank(ids[0], tiebreaker="dense").to_numpy()
-        own = name[:, None] == name if alone else None
-        found = [(0, -1, *least(d, none, own, k))] + ([] if alone else [(-1, 0, *least(d.T, none.T, None, k))])
-        src, dst = (pa.concat_arrays([ids[f[at]].take(pa.array(f[at + 2])) for f in found]) for at in (0, 1))
-        value = pa.array(np.concatenate([f[4] for f in found]), pa.float64(), mask=np.concatenate([f[5] for f in found]))
+        found = closest(distance, x, y, has_x, has_y, pc.rank(ids[0], tiebreaker="dense").to_numpy() if alone else None, k)
+        src, dst = (pa.concat_arrays([ids[-1 if f[0] == at else 0].take(pa.array(f[2 - at])) for f in found]) for at in (1, 0))
+        value = pa.array(np.concatenate([f[3] for f in found]), pa.float64(), mask=np.concatenate([f[4] for f in found]))
         return pa.table({group: pa.repeat(pair.column(group)[0], len(src)), "src": src, "dst": dst, "distance": value})
 
     out = T.StructType([df.schema[group], T.StructField("src", kind), T.StructField("dst", kind), T.StructField("distance", T.DoubleType())])
     keys = [group, "__i", "__j"]
     # by number, as a few bytes are much work here
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
     d = pairs.repartition(tasks, *keys).groupBy(*keys).applyInArrow(near, out)
     w = Window.partitionBy(group, "src").orderBy(F.col("distance").asc_nulls_last(), "dst")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

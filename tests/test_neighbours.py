@@ -54,6 +54,56 @@ def test_correlation_neighbours_of_odd_vectors(spark, odd, monkeypatch, rows):
     same_as_sql("y06_correlation_neighbours", spark, odd, monkeypatch, rows)
 
 
+def odd_block(rng, rows):
+    """Vectors of which some are copies, multiples, constant, or lack components; names of which two are equal."""
+    x, has = rng.normal(size=(rows, 12)), np.ones((rows, 12), bool)
+    x[5:9], x[9], x[10] = x[4], 2 * x[4], 0.25
+    has[11, 3:], has[12, 5] = False, False
+    x[~has], x[13, 2] = 0, np.inf
+    return x, has, np.array([0, 0, *range(2, rows)])
+
+
+def best(pieces, way, k):
+    """Row: its k best columns with values, from pieces in the order of SQL."""
+    rows = {}
+    for at, *found in pieces:
+        for r, c, d, none in zip(*found) if at == way else ():
+            rows.setdefault(int(r), []).append((bool(none), bool(np.isnan(d)), 0.0 if np.isnan(d) else float(d), int(c)))
+    return {r: sorted(v)[:k] for r, v in rows.items()}
+
+
+def closest_is_plain(distance):
+    rng = np.random.default_rng(11)
+    for rows, k in ((150, 5), (40, 50), (14, 1)):
+        (x, has_x, names), (y, has_y, _) = odd_block(rng, rows), odd_block(rng, rows + 9)
+        y[14:20] = x[4:10]
+        d, none = distance(x, y, has_x, has_y)
+        pieces = K.closest(distance, x, y, has_x, has_y, None, k)
+        assert best(pieces, 0, k) == best([(0, *K.least(d, none, None, k))], 0, k)
+        assert best(pieces, 1, k) == best([(1, *K.least(d.T, none.T, None, k))], 1, k)
+        d, none = distance(x, x, has_x, has_x)
+        assert best(K.closest(distance, x, x, has_x, has_x, names, k), 0, k) == best([(0, *K.least(d, none, names[:, None] == names, k))], 0, k)
+
+
+def pairs_computed(distance, monkeypatch, x, k):
+    """How many distances are computed one by one for the k nearest within x; none may be left to the kernel of all pairs."""
+    sound, rough, exact = K._SCREENS[distance]
+    done = []
+    monkeypatch.setitem(K._SCREENS, distance, (sound, rough, lambda p, q, r, c: done.append(len(r)) or exact(p, q, r, c)))
+    has = np.ones(x.shape, bool)
+    pieces = K.closest(distance, x, x, has, has, np.arange(len(x)), k)
+    assert done and [len(p[1]) for p in pieces] == [len(x) * k]
+    return sum(done)
+
+
+def test_correlation_screen_is_exact():
+    closest_is_plain(K.correlation_distance)
+
+
+def test_correlation_of_few_pairs_is_computed(monkeypatch):
+    assert pairs_computed(K.correlation_distance, monkeypatch, np.random.default_rng(12).normal(size=(1500, 64)), 3) < 4 * 1500
+
+
 def test_ward_equals_updated_distances():
     rng = np.random.default_rng(8)
     for points in (rng.normal(size=(40, 5)), np.repeat(rng.normal(size=(12, 3)), 3, axis=0), rng.normal(size=(3, 2)) + 1e4):
