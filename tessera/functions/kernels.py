@@ -194,8 +194,43 @@ def _sound_correlation(x: np.ndarray, has: np.ndarray) -> tuple[np.ndarray, np.n
     return p, has.all(axis=1) & np.isfinite(p).all(axis=1)
 
 
+def _rough_manhattan(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, float] | None:
+    """Distances in whole steps, and how far one may be from its exact value; nothing if rows are too near for steps."""
+    low, width = np.minimum(p.min(axis=0), q.min(axis=0)), p.shape[1]
+    kind = np.uint16 if width <= 256 else np.uint32
+    span, most = (np.maximum(p.max(axis=0), q.max(axis=0)) - low).sum(), float(np.iinfo(kind).max)
+    if not 1e-280 < span < 1e300:
+        return None
+    steps = (most - 2 * width) / span  # no distance is more than the last number but one
+    (a, off_a), (b, off_b) = ((np.rint(z).astype(kind), np.abs(z - np.rint(z)).sum(axis=1).max()) for z in ((p - low) * steps, (q - low) * steps))
+    out, columns = np.zeros((len(a), len(b)), kind), np.ascontiguousarray(b.T)
+    for s in _strips(a, b):
+        total, each = out[s], np.empty(out[s].shape, kind)
+        for k in range(width):
+            np.minimum(a[s, k, None], columns[k], out=each)
+            total += each
+        # |u - v| = u + v - 2 min(u, v), where overflows cancel out
+        np.multiply(total, kind(2), out=each)
+        np.subtract(a[s].sum(axis=1, dtype=kind)[:, None] + columns.sum(axis=0, dtype=kind), each, out=total)
+    return out, off_a + off_b + most * (width + 16) * 2.0**-51
+
+
+def _exact_manhattan(p: np.ndarray, q: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(r))
+    for u, v in zip(np.ascontiguousarray(p.T), np.ascontiguousarray(q.T)):
+        out += np.abs(u.take(r) - v.take(c))
+    return out
+
+
+def _sound_manhattan(x: np.ndarray, has: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x, has.all(axis=1) & (np.abs(x) < 1e290).all(axis=1)
+
+
 #: By kernel: points and which of them can be screened, rough values of all pairs, exact values of some.
-_SCREENS = {correlation_distance: (_sound_correlation, _rough_correlation, _exact_correlation)}
+_SCREENS = {
+    correlation_distance: (_sound_correlation, _rough_correlation, _exact_correlation),
+    manhattan: (_sound_manhattan, _rough_manhattan, _exact_manhattan),
+}
 
 
 def _turned(x: np.ndarray) -> np.ndarray:

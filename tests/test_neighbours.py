@@ -1,5 +1,6 @@
 """Neighbours over many blocks and odd vectors equal SQL; clustering holds no matrix of pairs."""
 
+import math
 import tracemalloc
 
 import duckdb
@@ -104,6 +105,28 @@ def test_correlation_of_few_pairs_is_computed(monkeypatch):
     assert pairs_computed(K.correlation_distance, monkeypatch, np.random.default_rng(12).normal(size=(1500, 64)), 3) < 4 * 1500
 
 
+def test_manhattan_screen_is_exact():
+    closest_is_plain(K.manhattan)
+
+
+def test_manhattan_of_few_pairs_is_computed(monkeypatch):
+    x = np.random.default_rng(12).normal(size=(1500, 64))
+    assert pairs_computed(K.manhattan, monkeypatch, x, 5) < 8 * 1500
+    assert pairs_computed(K.manhattan, monkeypatch, np.repeat(x, 5, axis=1), 5) < 6 * 1500
+
+
+@pytest.mark.parametrize("scale, shift, width", [(1.0, 0.0, 64), (1e-200, 0.0, 64), (1e200, 0.0, 3), (1e-3, 1e9, 64), (1.0, -5.0, 300)])
+def test_steps_are_as_near_as_they_say(scale, shift, width):
+    x, y = np.random.default_rng(13).standard_cauchy(size=(2, 90, width)).clip(-9, 9) * scale + shift
+    y[:9] = x[:9]
+    rough, error = K._rough_manhattan(x, y)
+    low, high = np.minimum(x.min(axis=0), y.min(axis=0)), np.maximum(x.max(axis=0), y.max(axis=0))
+    steps = (float(np.iinfo(rough.dtype).max) - 2 * width) / (high - low).sum()
+    d = np.array([[math.fsum(abs(u - v)) for v in y] for u in x])
+    assert np.abs(d * steps - rough).max() <= error < 1.1 * width and rough.max() < np.iinfo(rough.dtype).max
+    assert K._rough_manhattan(x[:1], x[:1]) is None
+
+
 def test_ward_equals_updated_distances():
     rng = np.random.default_rng(8)
     for points in (rng.normal(size=(40, 5)), np.repeat(rng.normal(size=(12, 3)), 3, axis=0), rng.normal(size=(3, 2)) + 1e4):
