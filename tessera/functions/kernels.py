@@ -172,18 +172,21 @@ def least(d: np.ndarray, none: np.ndarray, own: np.ndarray | None, k: int) -> tu
     return r, c, d[r, c], none[r, c]
 
 
-#: Of so many screened pairs one may be left, and this many in any case; with more, every distance is computed. Rows of a side then.
-_LEFT, _FEW, _SIDE = 16, 1 << 16, 1024
+#: Rows of a side of a tile of screened pairs; of so many pairs one may be left, and this many in any case; with more, every
+#: distance is computed, with so many rows of a side.
+_TILE, _LEFT, _FEW, _SIDE = 2048, 16, 1 << 16, 1024
 
 
-def _rough_correlation(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, float]:
-    """Minus the correlations of rows of mean 0 and length 1, and how far one may be from its exact value."""
-    return -p.astype(np.float32) @ q.astype(np.float32).T, (p.shape[1] + 8) * 2.0**-23
+def _rough_correlation(p: np.ndarray, q: np.ndarray):
+    """Rough points of both sides, a function of these that gives rough values of all pairs, how far one may be from its exact
+    value, and a function that gives the exact value of a distance in the same measure: minus the correlation."""
+    return p.astype(np.float32), q.astype(np.float32), lambda a, b: -a @ b.T, (p.shape[1] + 8) * 2.0**-23, lambda d: d - 1
 
 
 def _exact_correlation(p: np.ndarray, q: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of some pairs, from points in columns."""
     out = np.ones(len(r))
-    for u, v in zip(np.ascontiguousarray(p.T), np.ascontiguousarray(q.T)):
+    for u, v in zip(p, q):
         out -= u.take(r) * v.take(c)
     return np.maximum(out, 0.0)
 
@@ -194,8 +197,8 @@ def _sound_correlation(x: np.ndarray, has: np.ndarray) -> tuple[np.ndarray, np.n
     return p, has.all(axis=1) & np.isfinite(p).all(axis=1)
 
 
-def _rough_manhattan(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, float] | None:
-    """Distances in whole steps, and how far one may be from its exact value; nothing if rows are too near for steps."""
+def _rough_manhattan(p: np.ndarray, q: np.ndarray):
+    """As :func:`_rough_correlation`, in whole steps; nothing if rows are too near for steps."""
     low, width = np.minimum(p.min(axis=0), q.min(axis=0)), p.shape[1]
     kind = np.uint16 if width <= 256 else np.uint32
     span, most = (np.maximum(p.max(axis=0), q.max(axis=0)) - low).sum(), float(np.iinfo(kind).max)
@@ -203,21 +206,25 @@ def _rough_manhattan(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, float] |
         return None
     steps = (most - 2 * width) / span  # no distance is more than the last number but one
     (a, off_a), (b, off_b) = ((np.rint(z).astype(kind), np.abs(z - np.rint(z)).sum(axis=1).max()) for z in ((p - low) * steps, (q - low) * steps))
-    out, columns = np.zeros((len(a), len(b)), kind), np.ascontiguousarray(b.T)
-    for s in _strips(a, b):
-        total, each = out[s], np.empty(out[s].shape, kind)
-        for k in range(width):
-            np.minimum(a[s, k, None], columns[k], out=each)
-            total += each
-        # |u - v| = u + v - 2 min(u, v), where overflows cancel out
-        np.multiply(total, kind(2), out=each)
-        np.subtract(a[s].sum(axis=1, dtype=kind)[:, None] + columns.sum(axis=0, dtype=kind), each, out=total)
-    return out, off_a + off_b + most * (width + 16) * 2.0**-51
+
+    def values(a, b):
+        out, columns = np.zeros((len(a), len(b)), kind), np.ascontiguousarray(b.T)
+        for s in _strips(a, b):
+            total, each = out[s], np.empty(out[s].shape, kind)
+            for k in range(width):
+                np.minimum(a[s, k, None], columns[k], out=each)
+                total += each
+            # |u - v| = u + v - 2 min(u, v), where overflows cancel out
+            np.multiply(total, kind(2), out=each)
+            np.subtract(a[s].sum(axis=1, dtype=kind)[:, None] + columns.sum(axis=0, dtype=kind), each, out=total)
+        return out
+
+    return a, b, values, off_a + off_b + most * (width + 16) * 2.0**-51, lambda d: d * steps
 
 
 def _exact_manhattan(p: np.ndarray, q: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
     out = np.zeros(len(r))
-    for u, v in zip(np.ascontiguousarray(p.T), np.ascontiguousarray(q.T)):
+    for u, v in zip(p, q):
         out += np.abs(u.take(r) - v.take(c))
     return out
 
@@ -242,35 +249,67 @@ def _turned(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _low(rough: np.ndarray, own: np.ndarray | None, k: int, error: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the pairs that can be among the ``k`` least of their row, if values are off by ``error`` at most."""
+def _low(rough: np.ndarray, own: np.ndarray | None, k: int, error: float, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the pairs that can be among the ``k`` least of their row, if values are off by ``error`` at most
+    and no exact value over ``most`` is wanted."""
     whole = np.issubdtype(rough.dtype, np.integer)
     top = np.iinfo(rough.dtype).max if whole else np.inf
     if own is not None:
         rough[own] = top
-    k = min(k, rough.shape[1])
-    most = np.partition(rough, k - 1, axis=1)[:, k - 1].astype(float) + 2 * error
+    k, most = min(k, rough.shape[1]), most + error
+    if not np.isfinite(most).all():
+        most = np.minimum(most, np.partition(rough, k - 1, axis=1)[:, k - 1].astype(float) + 2 * error)
     most = np.minimum(np.ceil(most), top - 1).astype(rough.dtype) if whole else np.nextafter(np.minimum(most, 1e38).astype(rough.dtype), rough.dtype.type(np.inf))
     return np.divmod(np.flatnonzero(rough <= most[:, None]), rough.shape[1])
 
 
-def _screened(screen, p: np.ndarray, q: np.ndarray, own: np.ndarray | None, k: int, both: bool) -> list | None:
-    """As :func:`closest`, by the exact values of the few pairs that rough ones leave; nothing if they leave many."""
+class _Best:
+    """The ``k`` least pairs of each row so far, ties by column."""
+
+    def __init__(self, rows: int, k: int):
+        self.value, self.column, self.k = np.full((rows, k), np.inf), np.full((rows, k), -1), k
+
+    def add(self, r: np.ndarray, c: np.ndarray, d: np.ndarray) -> None:
+        """``r`` in order."""
+        at = np.unique(r)
+        held = self.column[at] >= 0
+        r = np.concatenate([np.repeat(at, held.sum(axis=1)), r])
+        c, d = np.concatenate([self.column[at][held], c]), np.concatenate([self.value[at][held], d])
+        order = np.lexsort((c, d, r))
+        r = r[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        r, place, order = (z[place < self.k] for z in (r, place, order))
+        self.value[r, place], self.column[r, place] = d[order], c[order]
+
+    def piece(self, way: int) -> tuple:
+        r, at = np.nonzero(self.column >= 0)
+        return way, r, self.column[r, at], self.value[r, at], np.zeros(len(r), bool)
+
+
+def _screened(screen, p: np.ndarray, q: np.ndarray, names: np.ndarray | None, k: int, whole) -> list:
+    """As :func:`closest`, by the exact values of the few pairs that rough ones leave; what leaves many is handed to ``whole``."""
     _, rough, exact = screen
+    everything, both = (np.arange(len(p)), np.arange(len(q))), names is None
     if (found := rough(p, q)) is None:
-        return None
-    out, (values, error) = [], found
-    for way in range(1 + both):
-        if way:
-            values, own = _turned(values), None if own is None else own.T
-        r, c = _low(values, own, k, error)
-        if len(r) > max(_FEW, values.size // _LEFT):
-            return None
-        d = exact(q, p, r, c) if way else exact(p, q, r, c)
-        order = np.lexsort((c, d, r))
-        order = order[np.arange(len(r)) - np.searchsorted(r, r) < k]  # r is in order already
-        out.append((way, r[order], c[order], d[order], np.zeros(len(order), bool)))
-    return out
+        whole(*everything)
+        return []
+    a, b, values, error, measure = found
+    columns = [np.ascontiguousarray(z.T) for z in (p, q)]
+    best = [_Best(len(z), min(k, len(o))) for z, o in ((p, q), (q, p))[: 1 + both]]
+    for i in range(0, len(p), _TILE):
+        for j in range(0, len(q), _TILE):
+            s, t = slice(i, i + _TILE), slice(j, j + _TILE)
+            rough, own, few = values(a[s], b[t]), names[s, None] == names[t] if names is not None else None, []
+            for way in range(1 + both):
+                r, c = _low(_turned(rough) if way else rough, own, k, error, measure(best[way].value[t if way else s, -1]))
+                few.append((r, c) if len(r) <= max(_FEW, rough.size // _LEFT) else None)
+            if None in few:
+                whole(everything[0][s], everything[1][t])
+                continue
+            for way, (r, c) in enumerate(few):
+                r, c = (r + j, c + i) if way else (r + i, c + j)
+                best[way].add(r, c, exact(columns[way], columns[1 - way], r, c))
+    return [z.piece(way) for way, z in enumerate(best)]
 
 
 def closest(distance, x: np.ndarray, y: np.ndarray, has_x: np.ndarray, has_y: np.ndarray, names: np.ndarray | None, k: int) -> list[tuple]:
@@ -297,12 +336,11 @@ def closest(distance, x: np.ndarray, y: np.ndarray, has_x: np.ndarray, has_y: np
     for i, a in enumerate(of_x):
         for j, b in enumerate(of_y):
             if len(a) and len(b) and not (alone and i > j):
-                both = not alone or i != j
-                found = _screened(screen, p[a], q[b], names[a][:, None] == names[b] if alone else None, k, both) if i + j == 0 else None
-                if found is None:
-                    whole(a, b, both)
-                else:
+                if i + j == 0:
+                    found = _screened(screen, p[a], q[b], names[a] if alone else None, k, lambda s, t: whole(a[s], b[t], not alone))
                     out += [(way, *((b[r], a[c]) if way else (a[r], b[c])), *rest) for way, r, c, *rest in found]
+                else:
+                    whole(a, b, not alone or i != j)
     return out
 
 

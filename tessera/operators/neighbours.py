@@ -13,8 +13,9 @@ from ..functions.kernels import closest, correlation_distance, manhattan
 
 __all__ = ["correlation_distance", "graph", "majority", "manhattan", "nearest"]
 
-#: Rows and components of a block, at most about; two blocks and the distances between them are what a task holds.
-BLOCK_ROWS, BLOCK_COMPONENTS = 2048, 1 << 22
+#: A group has this many blocks where these have rows between the two bounds, at about, and no more components than the last;
+#: two blocks are what a task holds.
+BLOCKS, BLOCK_ROWS, BLOCK_MOST, BLOCK_COMPONENTS = 8, 2048, 1 << 14, 1 << 22
 
 
 def _matrix(vectors: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +42,8 @@ def nearest(df: DataFrame, k: int, *, group: str, row: str, vector: str, distanc
     if df.schema[vector].dataType.elementType not in (T.FloatType(), T.DoubleType()):
         values = values.cast("array<double>")
     v = df.select(group, F.col(row).alias("__row"), values.alias("__v")).where(F.col(group).isNotNull() & F.col("__row").isNotNull() & (F.size("__v") > 0))
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.size("__v")) / BLOCK_COMPONENTS))
+    size = F.greatest(F.lit(BLOCK_ROWS), F.least(F.lit(BLOCK_MOST), F.ceil(F.count("*") / BLOCKS)))
+    blocks = F.greatest(F.ceil(F.count("*") / size), F.ceil(F.sum(F.size("__v")) / BLOCK_COMPONENTS))
     dealt = v.join(v.groupBy(group).agg(blocks.alias("__blocks")), group).withColumn("__block", F.expr("pmod(xxhash64(__row), __blocks)"))
     packed = dealt.groupBy(group, "__block", "__blocks").agg(F.collect_list(F.struct("__row", "__v")).alias("__rows"))
     other = packed.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))

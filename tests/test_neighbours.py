@@ -73,7 +73,8 @@ def best(pieces, way, k):
     return {r: sorted(v)[:k] for r, v in rows.items()}
 
 
-def closest_is_plain(distance):
+def closest_is_plain(distance, monkeypatch, tile):
+    monkeypatch.setattr(K, "_TILE", tile)
     rng = np.random.default_rng(11)
     for rows, k in ((150, 5), (40, 50), (14, 1)):
         (x, has_x, names), (y, has_y, _) = odd_block(rng, rows), odd_block(rng, rows + 9)
@@ -97,16 +98,36 @@ def pairs_computed(distance, monkeypatch, x, k):
     return sum(done)
 
 
-def test_correlation_screen_is_exact():
-    closest_is_plain(K.correlation_distance)
+@pytest.mark.parametrize("tile", [16, 2048])
+def test_correlation_screen_is_exact(monkeypatch, tile):
+    closest_is_plain(K.correlation_distance, monkeypatch, tile)
 
 
 def test_correlation_of_few_pairs_is_computed(monkeypatch):
     assert pairs_computed(K.correlation_distance, monkeypatch, np.random.default_rng(12).normal(size=(1500, 64)), 3) < 4 * 1500
 
 
-def test_manhattan_screen_is_exact():
-    closest_is_plain(K.manhattan)
+@pytest.mark.parametrize("tile", [16, 2048])
+def test_manhattan_screen_is_exact(monkeypatch, tile):
+    closest_is_plain(K.manhattan, monkeypatch, tile)
+
+
+@pytest.mark.parametrize("distance", [K.manhattan, K.correlation_distance])
+def test_copies_are_left_to_the_kernel(distance, monkeypatch):
+    for name, value in (("_TILE", 32), ("_FEW", 50), ("_SIDE", 20)):
+        monkeypatch.setattr(K, name, value)
+    closest_is_plain(distance, monkeypatch, 32)
+    x, has = np.random.default_rng(14).normal(size=(90, 6)), np.ones((90, 6), bool)
+    x[30:80] = x[3]
+    d, none = distance(x, x, has, has)
+    assert best(K.closest(distance, x, x, has, has, np.arange(90), 4), 0, 4) == best([(0, *K.least(d, none, np.eye(90, dtype=bool), 4))], 0, 4)
+
+
+@pytest.mark.parametrize("distance", [K.manhattan, K.correlation_distance])
+def test_later_tiles_leave_fewer_pairs(distance, monkeypatch):
+    monkeypatch.setattr(K, "_TILE", 250)
+    x = np.random.default_rng(15).normal(size=(1500, 64))
+    assert pairs_computed(distance, monkeypatch, x, 5) < 20 * 1500  # each tile by itself: 30 at least
 
 
 def test_manhattan_of_few_pairs_is_computed(monkeypatch):
@@ -119,11 +140,10 @@ def test_manhattan_of_few_pairs_is_computed(monkeypatch):
 def test_steps_are_as_near_as_they_say(scale, shift, width):
     x, y = np.random.default_rng(13).standard_cauchy(size=(2, 90, width)).clip(-9, 9) * scale + shift
     y[:9] = x[:9]
-    rough, error = K._rough_manhattan(x, y)
-    low, high = np.minimum(x.min(axis=0), y.min(axis=0)), np.maximum(x.max(axis=0), y.max(axis=0))
-    steps = (float(np.iinfo(rough.dtype).max) - 2 * width) / (high - low).sum()
+    a, b, values, error, measure = K._rough_manhattan(x, y)
+    rough = values(a, b)
     d = np.array([[math.fsum(abs(u - v)) for v in y] for u in x])
-    assert np.abs(d * steps - rough).max() <= error < 1.1 * width and rough.max() < np.iinfo(rough.dtype).max
+    assert np.abs(measure(d) - rough).max() <= error < 1.1 * width and rough.max() < np.iinfo(rough.dtype).max
     assert K._rough_manhattan(x[:1], x[:1]) is None
 
 
