@@ -83,7 +83,8 @@ def graph(nearest_rows: DataFrame, *, group: str) -> DataFrame:
 
 def majority(neighbours: DataFrame, labels: DataFrame, *, row: str = "src", label: str = "label") -> DataFrame:
     """``row``, ``label``: the most common label among a row's neighbours; ties go to the label of the nearest of them."""
-    named = neighbours.join(labels.select(F.col(row).alias("dst"), label), "dst")
+    # dealt by row once: votes and their order need no further exchange
+    named = neighbours.join(labels.select(F.col(row).alias("dst"), label), "dst").repartition(row)
     votes = named.groupBy(row, label).agg(F.count("*").alias("__n"), F.min("rank").alias("__r"))
     w = Window.partitionBy(row).orderBy(F.desc("__n"), "__r")
     return votes.withColumn("__k", F.row_number().over(w)).where("__k = 1").select(row, label)

@@ -50,6 +50,15 @@ def test_majority_of_odd_vectors(spark, odd, monkeypatch):
     same_as_sql("y13_majority_label", spark, odd, monkeypatch, 7)
 
 
+def test_majority_deals_votes_once(spark):
+    near = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (1, 4, 3), (2, 1, 1), (2, 5, 2)], "src long, dst long, rank int")
+    labels = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(1, 6)], "src long, label string")
+    got = N.majority(near, labels)
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "b")]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert sum("hashpartitioning(src" in line for line in plan.splitlines() if "Exchange" in line) == 1
+
+
 @pytest.mark.parametrize("rows", [7, 1024])
 def test_correlation_neighbours_of_odd_vectors(spark, odd, monkeypatch, rows):
     same_as_sql("y06_correlation_neighbours", spark, odd, monkeypatch, rows)
